@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm import decontam, packing, quality, secrets
+from cairnspark.llm import decontam, neardup, packing, quality, secrets, substrings
 from cairnspark.llm.labels import fold, labelled_sample
 from cairnspark.llm.tokenizer import word_bpe_path
 from cairnspark.session import read_table
@@ -36,4 +36,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", quality.predicted().alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_best_fit_packing, op4_quality_classifier)}
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"), shingle=2, percent=80)
+    return found.select("*", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text")).drop("removed")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_best_fit_packing, op4_quality_classifier, op7_minhash_near_dedup, op8_suffix_dedup)}
