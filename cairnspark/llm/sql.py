@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnspark.llm import secrets
+from cairnspark.llm import licenses, secrets
 
 
 def _op1() -> str:
@@ -41,4 +41,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_secret_scans": _op1(), "op2_decontamination": _OP2}
+def _op9() -> str:
+    templates = ", ".join(f"('{name}', {licenses.group_of(licenses.words(t))}, {[s for s in licenses.shingles(licenses.words(t))]})" for name, t in licenses.TEMPLATES.items())
+    return f"""
+WITH k(license, grp, template) AS (VALUES {templates}),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+', 0) AS w FROM documents WHERE regexp_matches(lower(text), 'license|licensed|software|conditions|distributed|public|without')),
+g AS (SELECT DISTINCT grp FROM k),
+v AS (SELECT doc_id, grp, a, w[a + 1:a + 2 * grp] AS ws FROM d, g, unnest(range(0, len(w), grp)) AS r(a)),
+x AS (SELECT doc_id, grp, a, list_distinct(list_transform(range(1, greatest(1, len(ws) - {licenses.SHINGLE} + 1) + 1), lambda i: array_to_string(ws[i:i + {licenses.SHINGLE} - 1], ' '))) AS own FROM v),
+m AS (SELECT doc_id, license, a, len(list_intersect(own, template)) AS c, len(template) AS n FROM x JOIN k USING (grp))
+SELECT doc_id, license, count(*) AS windows, max(c::DOUBLE / n) AS containment, min(a)::BIGINT AS word FROM m WHERE 100 * c >= {licenses.PERCENT} * n GROUP BY doc_id, license
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_secret_scans": _op1(), "op2_decontamination": _OP2, "op9_license_scans": _op9()}
