@@ -100,7 +100,7 @@ def _columns(bins: np.ndarray, first: np.ndarray) -> np.ndarray:
     before[1:], after[:-1] = own[:-1] + WIDTH, own[1:] + 2 * WIDTH
     before[first[:-1][first[:-1] < len(own)]] = 3 * WIDTH
     after[first[1:] - 1] = 3 * WIDTH
-    return np.concatenate([own, before, after], 1).astype(np.int64)
+    return np.concatenate([own, before, after], 1).astype(np.int32)
 
 
 @dataclass
@@ -114,7 +114,7 @@ class Model:
 def marginals(model: Model, columns: np.ndarray, first: np.ndarray, pairs: bool = False):
     """P(good) of every line by forward-backward, all texts side by side; with ``pairs`` also the summed pair marginals."""
     n, size = len(first) - 1, np.diff(first)
-    score = np.stack([np.zeros(len(columns)), model.weights[columns].sum(1)], 1)
+    score = np.stack([np.zeros(len(columns)), sum(model.weights[c] for c in columns.T)], 1)
     order = np.argsort(-size, kind="stable")
     begin, sizes = first[:-1][order], size[order]
     longest = int(sizes[0]) if n else 0
@@ -151,8 +151,11 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120, rate: float = 0.
         share = (sum(labels) + 1) / (len(labels) + 2)
         model.slope, model.level = 0.0, float(np.log(share / (1 - share)))
         return model
-    bins, weight, first = line_features(*utf8(pa.array(texts, pa.string())))
-    columns = _columns(bins, first)
+    # features are made a few texts at a time: what is held is a few small numbers per line
+    parts = [(*line_features(*utf8(pa.array(texts[a : a + 200], pa.string()))),) for a in range(0, len(texts), 200)]
+    columns = np.concatenate([_columns(bins, own) for bins, _, own in parts])
+    weight = np.concatenate([w for _, w, _ in parts])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(own) for _, _, own in parts]))])
     size, y = np.diff(first), np.asarray(labels)
     of = np.repeat(np.arange(len(y)), size)
     line_y = y[of]
@@ -163,7 +166,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120, rate: float = 0.
     for step in range(1, rounds + 1):
         good, joint = marginals(model, columns, first, pairs=True)
         miss = (line_y - good) * each
-        grads = [np.bincount(columns.ravel(), np.repeat(miss, columns.shape[1]), minlength=len(model.weights)) / len(y) - ridge * model.weights, (stay - joint) / max(1, stay.sum()) - ridge * model.links]
+        pull = sum(np.bincount(c, miss, minlength=len(model.weights)) for c in columns.T)
+        grads = [pull / len(y) - ridge * model.weights, (stay - joint) / max(1, stay.sum()) - ridge * model.links]
         for i, (value, grad) in enumerate(zip((model.weights, model.links), grads, strict=True)):
             state[2 * i] = 0.9 * state[2 * i] + 0.1 * grad
             state[2 * i + 1] = 0.99 * state[2 * i + 1] + 0.01 * grad**2
