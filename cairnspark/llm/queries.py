@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm import decontam, extraction, licenses, neardup, neighbours, packing, quality, secrets, substrings
+from cairnspark.llm import decontam, extraction, licenses, neardup, neighbours, packing, quality, secrets, substrings, toxicity
 from cairnspark.llm.labels import fold, labelled_sample
 from cairnspark.llm.tokenizer import word_bpe_path
 from cairnspark.session import read_table
@@ -57,4 +57,11 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text")).drop("removed")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_best_fit_packing, op4_quality_classifier, op5_nearest_neighbours, op6_html_extraction, op7_minhash_near_dedup, op8_suffix_dedup, op9_license_scans)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    texts, labels = labelled_sample(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"), "toxic", fold("doc_id", 4) != 2, toxicity.FIT_ROWS)
+    scored = toxicity.score_documents(docs, toxicity.fit(texts, labels))
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", toxicity.predicted().alias("predicted"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_best_fit_packing, op4_quality_classifier, op5_nearest_neighbours, op6_html_extraction, op7_minhash_near_dedup, op8_suffix_dedup, op9_license_scans, op10_toxicity)}
