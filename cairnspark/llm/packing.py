@@ -14,56 +14,118 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnspark.llm.arrowtext import padded, runs_of, steps, word_hashes
 from cairnspark.session import cut
 
 CAPACITY = 2048
-#: Chunks, and words, whose ids a Python worker remembers; beyond, it forgets them all and goes on.
-REMEMBERED = 550_000
-_BLANK = b"\x00\x00\x00\x00"
+#: Distinct pieces of text whose ids a Python worker remembers; beyond, it forgets them all and goes on.
+REMEMBERED = 2_000_000
+STEP_BYTES = 1 << 20
+_SLOTS = 1 << 22
+_SHIFT = np.uint64(64 - 22)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+# bytes that end a letter: small ASCII letters, and after byte C3 the second bytes of letters up to U+00FF (multiplication and division signs are none)
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+_SECOND = np.zeros(256, bool)
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
 
 
 class WordCache:
-    """Token ids, as little-endian bytes, of texts by a tokenizer that drops white space and never joins across it."""
+    """Token ids of texts by a tokenizer that lower-cases, drops white space and never joins across it.
+
+    Texts are cut at blanks, line ends, and before a full stop or comma that ends a word; the ids of each distinct piece are made
+    once and found by its hash in an open-addressed table. What a worker holds is bounded by REMEMBERED pieces.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.plain: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > REMEMBERED:
-            self.chunks = {"": b""}
-        if len(self.plain) > REMEMBERED:
-            self.plain = {}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        chunks = self.chunks
-        missing = list(dict.fromkeys(c for words in split for c in words if c not in chunks))
-        # most unseen chunks are a known word in another case or before a mark: those need no tokenizer
-        parts, whole, words = [], [], []
-        for c in missing:
-            body, mark = (c[:-1], c[-1]) if c[-1] in ".,!" else (c, "")
-            if body.isalpha() and body.isascii() or body.isalpha() and body.islower() and mark:
-                parts.append((c, body.lower(), mark))
-                words += [body.lower(), mark] if mark else [body.lower()]
-            else:
-                whole.append(c)
-        unknown = list(dict.fromkeys(w for w in words if w not in self.plain))
-        self.plain.update(zip(unknown, self._encode(unknown), strict=True))
-        for c, body, mark in parts:
-            chunks[c] = self.plain[body] + self.plain[mark] if mark else self.plain[body]
-        chunks.update(zip(whole, self._encode(whole), strict=True))
-        return [b"".join(map(chunks.__getitem__, w)) for w in split]
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(_SLOTS, np.uint64)
+        self.entry = np.zeros(_SLOTS, np.int32)
+        self.count, self.used = 0, 0
+        self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat = np.zeros(1 << 18, np.uint32)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int32)
+        at, slot = np.arange(len(h)), (h >> _SHIFT).astype(np.int64)
+        while len(at):
+            key = self.keys[slot]
+            hit = key == h[at]
+            out[at[hit]] = self.entry[slot[hit]]
+            on = ~hit & (key != 0)
+            at, slot = at[on], (slot[on] + 1) & (_SLOTS - 1)
+        return out
+
+    def _insert(self, h: np.ndarray, entry: np.ndarray) -> None:
+        slot = (h >> _SHIFT).astype(np.int64)
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]
+            own = free & (self.keys[slot] == h)  # of several that found one slot free, the last has it
+            self.entry[slot[own]] = entry[own]
+            h, entry, slot = h[~own], entry[~own], (slot[~own] + 1) & (_SLOTS - 1)
+
+    def _learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
+        made = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        total = int(sizes.sum())
+        while self.count + len(made) > len(self.begin):
+            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        new = np.arange(self.count, self.count + len(made))
+        self.begin[new], self.length[new] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(made), np.uint32, total)
+        self.count, self.used = self.count + len(made), self.used + total
+        self._insert(h, new.astype(np.int32))
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin."""
+        if self.count > REMEMBERED:
+            self.clear()
+        lower = _LOWER[data]
+        space = (lower == 32) | (lower == 10)
+        letter = _LETTER[lower]
+        letter[1:] |= _SECOND[lower[1:]] & (lower[:-1] == 0xC3)
+        # a mark after a letter and before a blank or the end is a piece of its own
+        mark = (lower == 46) | (lower == 44)
+        mark[1:] &= letter[:-1]
+        mark[:-1] &= space[1:]
+        mark[offsets[1:][offsets[1:] > 0] - 1] = False
+        mark[:1] = False
+        cuts = np.union1d(offsets, np.flatnonzero(mark))
+        starts, ends = runs_of(~space, cuts)
+        # capitals before combining marks compose otherwise than small letters do: such pieces keep their case
+        rare = np.flatnonzero(data >= 0xC4)
+        for k in np.unique(np.searchsorted(starts, rare, "right") - 1) if len(rare) else ():
+            lower[starts[k] : ends[k]] = data[starts[k] : ends[k]]
+        h = np.maximum(word_hashes(padded(lower), starts, ends), np.uint64(1))
+        entry = self._find(h)
+        unknown = np.flatnonzero(entry < 0)
+        if len(unknown):
+            new, first = np.unique(h[unknown], return_index=True)
+            at = unknown[first]
+            self._learn(new, [lower[a:b].tobytes() for a, b in zip(starts[at], ends[at], strict=True)])
+            entry[unknown] = self._find(h[unknown])
+        size = self.length[entry]
+        after = np.cumsum(size)
+        ids = self.flat[np.arange(after[-1] if len(after) else 0) + np.repeat(self.begin[entry] - (after - size), size)]
+        return ids, np.concatenate([[0], after])[np.searchsorted(starts, offsets)]
 
 
 _caches: dict[str, WordCache] = {}
@@ -73,18 +135,17 @@ def _pieces(path: str, capacity: int, end_id: int, id_type: pa.DataType):
     size, last = 4 * capacity, np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _caches.setdefault(path, None) or WordCache(path)
-        _caches[path] = cache
+        if path not in _caches:
+            _caches[path] = WordCache(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for part, data, offsets in steps(batch, "text", STEP_BYTES):
                 rows: list[list] = [[], [], [], [], []]
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for k, ids in enumerate(cache.ids(texts)):
-                    ids += last
+                every, first = _caches[path].ids(data, offsets)
+                for k in range(part.num_rows):
+                    ids = every[first[k] : first[k + 1]].astype("<u4").tobytes() + last
                     for n, a in enumerate(range(0, len(ids), size)):
-                        cut = ids[a : a + size]
-                        for column, value in zip(rows, (k, n, a // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
+                        cut_ = ids[a : a + size]
+                        for column, value in zip(rows, (k, n, a // 4, len(cut_) // 4, zlib.crc32(cut_)), strict=True):
                             column.append(value)
                 ids = part.column("id").take(pa.array(rows[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])], names=["id", "piece", "start", "length", "ids_crc32"])
