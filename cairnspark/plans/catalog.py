@@ -1,14 +1,20 @@
-"""The registered queries of the engine itself, each with its SQL."""
+"""The registered queries of the engine itself, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from cairnspark.plans import queries as q
+from cairnspark.plans.sql import ORACLE_SQL as ORACLE_SQL
+
+_WITHOUT_SQL = (q.duplicates_parts, q.chunk_plan_documents, q.visible_text_pages, q.usage_caps_events, q.headings_documents)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: getattr(q, name) for name in ORACLE_SQL} | {f.__name__: f for f in _WITHOUT_SQL}
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return spark.range(0)
+    """Documents scanned for indicators, merged into a graph, and its nodes counted by type."""
+    node, _ = q._contributions(spark, sf_dir)
+    return node.select("node_id", "type").distinct().groupBy("type").agg(F.count("*").alias("nodes"))
