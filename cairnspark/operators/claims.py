@@ -15,12 +15,12 @@ PROPOSAL = f"struct<entities:{ENTITY},relationships:{RELATIONSHIP}>"
 
 def parse_proposals(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Raw (report_id, chunk_index, json) to (entities, relationships, schema failures). One bad item fails its chunk whole."""
-    parsed = raw.select(*_CHUNK, F.from_json("json", PROPOSAL.removeprefix("struct<").removesuffix(">").replace("entities:", "entities ", 1).replace(",relationships:", ", relationships ", 1)).alias("_p"))
+    parsed = raw.select(*_CHUNK, F.get_json_object("json", "$").isNotNull().alias("_json"), F.from_json("json", PROPOSAL.removeprefix("struct<").removesuffix(">").replace("entities:", "entities ", 1).replace(",relationships:", ", relationships ", 1)).alias("_p"))
     entities, relations = F.coalesce("_p.entities", F.array().cast(ENTITY)), F.coalesce("_p.relationships", F.array().cast(RELATIONSHIP))
     within = lambda c, low, high: F.coalesce(F.length(c).between(low, high), F.lit(False))
     good_entity = F.forall(entities, lambda e: within(e["name"], 1, fixed.MAX_NAME) & F.coalesce(e["type"].isin(*fixed.ENTITY_TYPES), F.lit(False)) & within(F.coalesce(e["description"], F.lit("")), 0, fixed.MAX_DESCRIPTION) & within(e["evidence"], fixed.MIN_EVIDENCE, fixed.MAX_EVIDENCE) & (F.coalesce(F.size(e["aliases"]), F.lit(0)) <= fixed.MAX_ALIASES))
     good_relation = F.forall(relations, lambda r: within(r["source"], 1, fixed.MAX_NAME) & within(r["target"], 1, fixed.MAX_NAME) & F.coalesce(r["relation"].isin(*fixed.RELATION_TYPES), F.lit(False)) & within(r["evidence"], fixed.MIN_EVIDENCE, fixed.MAX_EVIDENCE))
-    good = F.coalesce(F.col("_p").isNotNull() & good_entity & good_relation & (F.size(entities) <= fixed.MAX_ENTITIES) & (F.size(relations) <= fixed.MAX_RELATIONSHIPS), F.lit(False))
+    good = F.coalesce(F.col("_json") & F.col("_p").isNotNull() & good_entity & good_relation & (F.size(entities) <= fixed.MAX_ENTITIES) & (F.size(relations) <= fixed.MAX_RELATIONSHIPS), F.lit(False))
     judged = parsed.select(*_CHUNK, good.alias("_good"), entities.alias("_e"), relations.alias("_r"))
     fine = judged.filter("_good")
     return (
