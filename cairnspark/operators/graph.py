@@ -89,39 +89,75 @@ def contribution_hash(contributions: DataFrame) -> DataFrame:
 # -- nodes and edges ----------------------------------------------------------------------------
 
 
-def nodes(contributions: DataFrame) -> DataFrame:
-    """Nodes with first-seen name, other spellings as aliases, reports in order, newest evidence first."""
+def node_reports(contributions: DataFrame) -> DataFrame:
+    """(node_id, report_id, first_seen): which reports a node stands in, as rows; a hot node's list may be too long for one."""
+    return contributions.groupBy("node_id", "report_id").agg(F.min("ingest_seq").alias("first_seen"))
+
+
+def node_facts(contributions: DataFrame) -> DataFrame:
+    """Nodes without lists: type, first-seen name, indicator type, counts of reports and of kept quotes, first and last seen.
+    Everything is summed up before the shuffle, so a node that a third of all reports mention costs no more than another."""
     order = F.struct("ingest_seq", "report_id")
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(order.alias("_o"), F.col(c).alias("_v")))), lambda x: x["_v"])
     base = contributions.groupBy("node_id").agg(
-        F.min_by("type", order).alias("type"), F.min_by("name", order).alias("name"), F.array_distinct(F.concat(in_order("name"), F.flatten(in_order("aliases")))).alias("_names"),
-        F.array_distinct(in_order("report_id")).alias("reports"), F.max_by("ioc_type", F.when(F.col("ioc_type").isNotNull(), order)).alias("ioc_type"),
-        F.max_by("flags", F.when(F.size("flags") > 0, order)).alias("flags"), F.min("ingest_seq").alias("first_seen"), F.max("ingest_seq").alias("last_seen"),
+        F.min(F.struct(order.alias("_o"), "type", "name")).alias("_f"), F.max(F.when(F.col("ioc_type").isNotNull(), F.struct(order.alias("_o"), "ioc_type"))).alias("_i"),
+        F.min("ingest_seq").alias("first_seen"), F.max("ingest_seq").alias("last_seen"),
     )
-    base = base.withColumn("aliases", F.array_except("_names", F.array("name"))).withColumn("flags", F.coalesce("flags", F.array().cast("array<string>"))).drop("_names")
+    counted = node_reports(contributions).groupBy("node_id").agg(F.count("*").alias("n_reports"))
+    quoted = _newest_quotes(contributions).groupBy("node_id").agg(F.count("*").alias("n_evidence"))
+    out = base.join(counted, "node_id").join(quoted, "node_id", "left")
+    return out.select("node_id", "_f.type", "_f.name", F.col("_i.ioc_type").alias("ioc_type"), "n_reports", F.coalesce("n_evidence", F.lit(0)).cast("long").alias("n_evidence"), "first_seen", "last_seen")
+
+
+def _newest_quotes(contributions: DataFrame) -> DataFrame:
+    """The NODE_EVIDENCE newest quotes of each node; the limit is applied before the shuffle as well as after."""
     quotes = contributions.select("node_id", "report_id", "ingest_seq", F.posexplode("quotes").alias("_i", "_q")).select("node_id", "report_id", "ingest_seq", "_i", "_q.*")
-    once = quotes.groupBy("node_id", "report_id", "quote").agg(F.max("ingest_seq").alias("ingest_seq"), F.min("_i").alias("_i"), F.min_by("page", "_i").alias("page"))
+    once = quotes.groupBy("node_id", "report_id", "quote").agg(F.max("ingest_seq").alias("ingest_seq"), F.min(F.struct("_i", "page")).alias("_p")).select("node_id", "report_id", "quote", "ingest_seq", "_p.*")
     newest = Window.partitionBy("node_id").orderBy(F.desc("ingest_seq"), F.desc("report_id"), F.desc("_i"), "quote")
-    kept = once.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= fixed.NODE_EVIDENCE)
-    evidence = kept.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "report_id", "quote", "page"))), lambda x: F.struct(x["report_id"].alias("report_id"), x["quote"].alias("quote"), x["page"].alias("page"))).alias("evidence"))
-    said = contributions.select("node_id", "ingest_seq", "report_id", F.posexplode("descriptions").alias("_i", "text"))
-    described = said.groupBy("node_id", "report_id", "text").agg(F.min(F.struct("ingest_seq", "report_id", "_i")).alias("_o"))
-    described = described.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "report_id", "text"))), lambda x: F.struct(x["report_id"].alias("report_id"), x["text"].alias("text"))).alias("descriptions"))
+    return once.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= fixed.NODE_EVIDENCE)
+
+
+def nodes(contributions: DataFrame) -> DataFrame:
+    """Nodes whole, with their lists: other spellings as aliases, reports in order, newest evidence first, all descriptions. Each
+    list is of distinct values found beforehand; where a node's reports are too many for one row, use node_facts and
+    node_reports."""
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("_o", F.col(c).alias("_v")))), lambda x: x["_v"])
+    place = lambda spot: F.struct("ingest_seq", "report_id", spot.alias("_s"))
+    spelled = contributions.select("node_id", "name", place(F.lit(-1)).alias("_o")).unionByName(
+        contributions.select("node_id", "ingest_seq", "report_id", F.posexplode("aliases").alias("_s", "name")).select("node_id", "name", place(F.col("_s")).alias("_o"))
+    )
+    names = spelled.filter("name <> ''").groupBy("node_id", "name").agg(F.min("_o").alias("_o")).groupBy("node_id").agg(in_order("name").alias("_names"))
+    reports = node_reports(contributions).withColumn("_o", F.struct("first_seen", "report_id")).groupBy("node_id").agg(in_order("report_id").alias("reports"))
+    flags = contributions.filter(F.size("flags") > 0).groupBy("node_id").agg(F.max(F.struct("ingest_seq", "report_id", "flags")).alias("_g")).select("node_id", "_g.flags")
+    entry = lambda *c: lambda x: F.struct(*[x[k].alias(k) for k in c])
+    evidence = _newest_quotes(contributions).groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "report_id", "quote", "page"))), entry("report_id", "quote", "page")).alias("evidence"))
+    said = contributions.select("node_id", "ingest_seq", "report_id", F.posexplode("descriptions").alias("_i", "text")).groupBy("node_id", "report_id", "text").agg(F.min(F.struct("ingest_seq", "_i")).alias("_o"))
+    described = said.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "report_id", "text"))), entry("report_id", "text")).alias("descriptions"))
+    out = node_facts(contributions)
+    for side in (names, reports, flags, evidence, described):
+        out = out.join(side, "node_id", "left")
     empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
-    out = base.join(evidence, "node_id", "left").join(described, "node_id", "left")
-    return out.select("node_id", "type", "name", "aliases", "reports", empty("evidence", "array<struct<report_id:string,quote:string,page:int>>"), empty("descriptions", "array<struct<report_id:string,text:string>>"), "ioc_type", "flags", "first_seen", "last_seen")
+    return out.select(
+        "node_id", "type", "name", F.array_except(F.coalesce("_names", F.array().cast("array<string>")), F.array("name")).alias("aliases"), "reports",
+        empty("evidence", "array<struct<report_id:string,quote:string,page:int>>"), empty("descriptions", "array<struct<report_id:string,text:string>>"), "ioc_type", empty("flags", "array<string>"), "first_seen", "last_seen",
+    )
+
+
+def edge_facts(contributions: DataFrame) -> DataFrame:
+    """Edges (src, dst, relation) with how many reports support them."""
+    once = contributions.groupBy("src", "dst", "relation", "report_id").agg(F.max("ingest_seq").alias("ingest_seq"))
+    return once.groupBy("src", "dst", "relation").agg(F.count("*").alias("n_reports"))
 
 
 def edges(contributions: DataFrame) -> DataFrame:
-    """Edges (src, dst, relation) with all that support them."""
-    order = F.struct("ingest_seq", "report_id")
-    return contributions.groupBy("src", "dst", "relation").agg(F.array_sort(F.collect_set("report_id")).alias("reports"), F.max_by("evidence", order).alias("evidence"), F.max_by("mode", order).alias("mode"))
+    """Edges (src, dst, relation) with the reports that support them, and their last evidence."""
+    last = F.max(F.struct("ingest_seq", "report_id", "evidence", "mode")).alias("_l")
+    return contributions.groupBy("src", "dst", "relation").agg(F.array_sort(F.collect_set("report_id")).alias("reports"), last).select("src", "dst", "relation", "reports", "_l.evidence", "_l.mode")
 
 
 def edges_last_writer(contributions: DataFrame) -> DataFrame:
     """Edges that keep their last report only, as a store keyed by (src, dst, relation) would."""
-    order = F.struct("ingest_seq", "report_id")
-    return contributions.groupBy("src", "dst", "relation").agg(F.max_by("report_id", order).alias("report_id"), F.max_by("evidence", order).alias("evidence"), F.max_by("mode", order).alias("mode"))
+    last = F.max(F.struct("ingest_seq", "report_id", "evidence", "mode")).alias("_l")
+    return contributions.groupBy("src", "dst", "relation").agg(last).select("src", "dst", "relation", "_l.report_id", "_l.evidence", "_l.mode")
 
 
 # -- reading ------------------------------------------------------------------------------------
@@ -157,8 +193,8 @@ def node_relationships(node: DataFrame, edge: DataFrame, ids: Column) -> DataFra
 
 def related_indicators(node: DataFrame, edge: DataFrame, ids: Column) -> DataFrame:
     rows = both_ways(edge).filter(ids).select("node_id", "other_id").distinct()
-    found = node.filter("type = 'indicator'").select(F.col("node_id").alias("other_id"), "name", "ioc_type", "flags")
-    return rows.join(found, "other_id").select("node_id", F.col("other_id").alias("indicator_id"), "name", "ioc_type", "flags")
+    found = node.filter("type = 'indicator'").select(F.col("node_id").alias("other_id"), "name", "ioc_type", *[c for c in node.columns if c == "flags"])
+    return rows.join(found, "other_id").withColumnRenamed("other_id", "indicator_id")
 
 
 def neighborhood(spark: SparkSession, node: DataFrame, edge: DataFrame, center: str, depth: int = 1, most: int = 150, reports: bool = False) -> DataFrame:
@@ -202,9 +238,9 @@ def query_by_name(node: DataFrame, edge: DataFrame, name: str, neighbours: int =
     return hit.join(listed, "node_id", "left").select("node_id", "type", "name", "aliases", "reports", F.coalesce("neighbours", F.array().cast("array<string>")).alias("neighbours"), said.alias("quotes"))
 
 
-def entity_counts(node: DataFrame) -> DataFrame:
+def entity_counts(contributions: DataFrame) -> DataFrame:
     """Nodes that each report contributes to."""
-    return node.filter("type <> 'report'").select(F.explode("reports").alias("report_id")).groupBy("report_id").agg(F.count("*").alias("entities"))
+    return contributions.filter("type <> 'report'").select("report_id", "node_id").distinct().groupBy("report_id").agg(F.count("*").alias("entities"))
 
 
 def same_name_types(node: DataFrame) -> DataFrame:

@@ -95,15 +95,15 @@ def _contributions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 def _plain(node: DataFrame) -> DataFrame:
-    return node.select("node_id", "type", "name", F.size("reports").cast("long").alias("n_reports"), F.size("evidence").cast("long").alias("n_evidence"), "first_seen", "last_seen")
+    return node.drop("ioc_type")
 
 
 def graph_nodes(spark, sf_dir):
-    return _plain(graph.nodes(_contributions(spark, sf_dir)[0]))
+    return _plain(graph.node_facts(_contributions(spark, sf_dir)[0]))
 
 
 def graph_edges(spark, sf_dir):
-    return graph.edges(_contributions(spark, sf_dir)[1]).select("src", "dst", "relation", F.size("reports").cast("long").alias("n_reports"))
+    return graph.edge_facts(_contributions(spark, sf_dir)[1])
 
 
 def graph_edges_last_writer(spark, sf_dir):
@@ -112,47 +112,47 @@ def graph_edges_last_writer(spark, sf_dir):
 
 def graph_stats(spark, sf_dir):
     node, edge = _contributions(spark, sf_dir)
-    return graph.stats(graph.nodes(node), graph.edges(edge)).select(F.coalesce("type", F.lit("all")).alias("type"), "nodes", "edges")
+    return graph.stats(graph.node_facts(node), graph.edge_facts(edge)).select(F.coalesce("type", F.lit("all")).alias("type"), "nodes", "edges")
 
 
 def graph_top_degree(spark, sf_dir):
     node, edge = _contributions(spark, sf_dir)
-    return graph.top_degree(graph.nodes(node), graph.edges(edge)).select("node_id", "type", "degree")
+    return graph.top_degree(graph.node_facts(node), graph.edge_facts(edge)).select("node_id", "type", "degree")
 
 
 def graph_node_relationships(spark, sf_dir):
     """Relations of the campaigns, counted by direction and kind of the other end."""
     node, edge = _contributions(spark, sf_dir)
-    found = graph.node_relationships(graph.nodes(node), graph.edges(edge), F.col("node_id").startswith("campaign--"))
+    found = graph.node_relationships(graph.node_facts(node), graph.edge_facts(edge), F.col("node_id").startswith("campaign--"))
     return found.groupBy("node_id", "relation", "direction", "other_type").agg(F.count("*").alias("n"))
 
 
 def graph_related_indicators(spark, sf_dir):
     node, edge = _contributions(spark, sf_dir)
-    return graph.related_indicators(graph.nodes(node), graph.edges(edge), F.col("node_id").startswith("campaign--")).select("node_id", "indicator_id", "ioc_type", "name")
+    return graph.related_indicators(graph.node_facts(node), graph.edge_facts(edge), F.col("node_id").startswith("campaign--")).select("node_id", "indicator_id", "ioc_type", "name")
 
 
 def graph_neighborhood(spark, sf_dir):
     """Two hops, reports included, around one campaign; the cut is far off."""
     node, edge = _contributions(spark, sf_dir)
-    return graph.neighborhood(spark, graph.nodes(node), graph.edges(edge), "campaign--src1", 2, 1_000_000, True)
+    return graph.neighborhood(spark, graph.node_facts(node), graph.edge_facts(edge), "campaign--src1", 2, 1_000_000, True)
 
 
 def graph_remove_report(spark, sf_dir):
     """Nodes after the first half of the documents is taken back."""
     node, _ = _contributions(spark, sf_dir)
     gone = node.filter("type = 'report' and ingest_seq % 2 = 0").select("report_id")
-    return _plain(graph.nodes(graph.remove_reports(node, gone)))
+    return _plain(graph.node_facts(graph.remove_reports(node, gone)))
 
 
 def graph_remerge(spark, sf_dir):
     """Merging reports again changes nothing: the same nodes."""
     node, _ = _contributions(spark, sf_dir)
-    return _plain(graph.nodes(graph.replace_reports(node, node.filter("ingest_seq % 3 = 0"))))
+    return _plain(graph.node_facts(graph.replace_reports(node, node.filter("ingest_seq % 3 = 0"))))
 
 
 def graph_entity_counts(spark, sf_dir):
-    return graph.entity_counts(graph.nodes(_contributions(spark, sf_dir)[0]))
+    return graph.entity_counts(_contributions(spark, sf_dir)[0])
 
 
 def same_name_types(spark, sf_dir):
@@ -178,17 +178,31 @@ def _folded(c: str):
 
 
 def grounded_benchmark(spark, sf_dir):
-    """Which documents hold a benchmark passage whole. Both sides are brought to their form once; five-word keys of the passage,
-    at most 50 and taken by hash, meet the documents' keys, and the passage itself confirms."""
-    items = read_table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", _folded("text").alias("quote"))
+    """Which documents hold a benchmark passage whole. Both sides are brought to their form once; a key of the passage's words
+    meets the documents' keys, and the passage itself confirms."""
+    items = read_table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", _folded("text").alias("quote")).filter("quote is not null")
     docs = read_table(spark, sf_dir, *DOCS).select("doc_id", _folded("text").alias("body"))
-    key = lambda words, i: F.xxhash64(F.slice(words, i, 5))
-    # inner words only: the first and last of a passage may be part of longer words in a document
-    inner = items.withColumn("_w", F.split("quote", " ")).withColumn("_k", F.when(F.size("_w") >= 7, key(F.col("_w"), F.lit(2))))
-    keyed = docs.withColumn("_w", F.split("body", " ")).filter(F.size("_w") >= 7).select("doc_id", "body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - 4), lambda i: key(F.col("_w"), i)))).alias("_k"))
-    # the quotes are a stated set of queries: the filter on their keys comes before any text is joined
-    met = keyed.select("doc_id", "_k").join(inner.select("item_id", "_k"), "_k").select("doc_id", "item_id").distinct()
-    return met.join(items, "item_id").join(docs, "doc_id").filter(F.contains("body", F.col("quote"))).select("item_id", "doc_id")
+    # a key is up to five inner words: the first and last of a passage may be part of longer words in a document
+    items = items.withColumn("_w", F.split("quote", " ")).withColumn("_n", F.greatest(F.lit(0), F.least(F.lit(5), F.size("_w") - 2)))
+    lengths = [r._n for r in items.select("_n").distinct().collect()]
+    met = None
+    for n in sorted(lengths):
+        own = items.filter(F.col("_n") == n)
+        if n:
+            key = _words_key(n)
+            keyed = docs.withColumn("_w", F.split("body", " ")).filter(F.size("_w") >= n).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), key("_w")))).alias("_k"))
+            one = keyed.join(own.select("item_id", key("_w")(F.lit(2)).alias("_k")), "_k").select("doc_id", "item_id").distinct()
+        else:  # a stated set of one or two words has no inner word: it is looked for in every text
+            one = docs.join(own, F.contains("body", F.col("quote"))).select("doc_id", "item_id")
+        met = one if met is None else met.unionByName(one)
+    if met is None:
+        return items.select("item_id").crossJoin(docs.select("doc_id")).limit(0)
+    # the key join carries ids alone; the passage itself confirms
+    return met.join(items.select("item_id", "quote"), "item_id").join(docs, "doc_id").filter(F.contains("body", F.col("quote"))).select("item_id", "doc_id")
+
+
+def _words_key(n: int):
+    return lambda words: lambda i: F.xxhash64(F.slice(F.col(words), i, n))
 
 
 def claims_validate(spark, sf_dir):
@@ -330,8 +344,8 @@ def summary_hash_documents(spark, sf_dir):
 def node_display(spark, sf_dir):
     """Display columns of the graph's nodes: family, filter key, size."""
     node, edge = _contributions(spark, sf_dir)
-    full = graph.nodes(node)
-    ranked = graph.degrees(full, graph.edges(edge)).join(full.select("node_id", "ioc_type"), "node_id")
+    full = graph.node_facts(node)
+    ranked = graph.degrees(full, graph.edge_facts(edge)).join(full.select("node_id", "ioc_type"), "node_id")
     most = ranked.agg(F.max("degree").alias("most"))
     return ranked.crossJoin(most).select("node_id", text.family(F.col("type")).alias("family"), text.filter_key(F.col("type"), F.col("ioc_type")).alias("filter_key"), text.node_size(F.col("degree"), F.col("most"), F.lit(False)).alias("size"))
 
