@@ -37,9 +37,9 @@ _CLASSES = {
     "bar": _BYTE == ord("|"),
     "sign": np.isin(_BYTE, [ord(c) for c in "#$%&*@~^<>{}[]\\/=_+"]),
 }
-_CODE = np.zeros(256, np.int64)
+_CODE = np.zeros(256, np.uint8)
 for _i, _members in enumerate(_CLASSES.values()):
-    _CODE |= _members.astype(np.int64) << (8 * _i)
+    _CODE |= (_members.astype(np.uint8) << _i).astype(np.uint8)
 #: Bins of the figures of a line: a figure counts by the bin it falls in, so that a weight need not be linear in it.
 _CUTS = [(0.02, 0.5, 0.65, 0.75, 0.82), (0.02, 0.06, 0.15, 0.4), (0.005, 0.05, 0.2), (0.005, 0.03, 0.08), (0.005, 0.05, 0.15), (0.005, 0.05, 0.15), (0.005, 0.05, 0.15), (3.0, 5.0, 7.0, 10.0), (2.0, 4.0, 6.0, 8.0), (0.02, 0.1, 0.4), (0.3, 0.6, 0.8, 0.95), (0.5,), (0.05, 0.3)]
 WIDTH = sum(len(c) + 1 for c in _CUTS)
@@ -54,13 +54,11 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     ends = np.sort(np.concatenate([offsets[1:], breaks]), kind="stable")
     size = ends - starts
     per = np.maximum(size, 1).astype(float)
-    blank = np.concatenate([data == 10, [True]])
     figures = []
-    packed = _CODE[data]
-    for half in (0, 4):  # four classes at a time, sixteen bits each, cannot overflow before 65,536 bytes: sums are taken apart
-        for i in range(half, min(half + 4, len(_CLASSES))):
-            total = np.concatenate([[0], np.cumsum((packed >> (8 * i)) & 1)])
-            figures.append((total[ends] - total[starts]) / per)
+    code = _CODE[data]
+    for i in range(len(_CLASSES)):
+        total = np.concatenate([[0], np.cumsum((code >> i) & 1, dtype=np.int64)])
+        figures.append((total[ends] - total[starts]) / per)
     figures.append(np.log1p(size))
     spaces = (data == 32) | (data == 10) | (data == 9) | (data == 13)
     ws, we = runs_of(~spaces, offsets)
@@ -87,7 +85,6 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     # the share of the text's words that stand in its lines of few words: lists and fragments
     short = np.bincount(text, words * (words <= 3), minlength=n) / np.maximum(np.bincount(text, words, minlength=n), 1)
     figures.append(short[text])
-    del blank
     bins = np.stack([np.searchsorted(c, f, "right") for c, f in zip(_CUTS, figures, strict=True)], 1)
     return bins.astype(np.int16), size + 1.0, first
 
