@@ -138,7 +138,7 @@ def merge_relationships(judged: DataFrame) -> DataFrame:
 def validate_techniques(claims: DataFrame, techniques: DataFrame, chunks: DataFrame, unicode: bool = True) -> DataFrame:
     """Claimed technique ids (report_id, chunk_index, ordinal, technique_id, evidence): the data set's own name, and a reason."""
     known = techniques.select(F.upper("id").alias("_id"), F.col("name").alias("technique"))
-    rows = grounded(claims, chunks, unicode=unicode).withColumn("_id", F.upper(F.trim("technique_id"))).join(F.broadcast(known) if "id" in techniques.columns else known, "_id", "left")
+    rows = grounded(claims, chunks, unicode=unicode).withColumn("_id", F.upper(F.trim("technique_id"))).join(known, "_id", "left")
     reason = F.when(F.col("technique").isNull(), "unknown_technique").when(~F.col("_grounded"), "not_grounded")
     first = Window.partitionBy("report_id", "_id", reason.isNull()).orderBy("chunk_index", "ordinal")
     judged = rows.withColumn("_n", F.row_number().over(first)).withColumn("reason", F.when(reason.isNull() & (F.col("_n") > 1), "repeated").otherwise(reason))

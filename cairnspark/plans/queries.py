@@ -196,7 +196,7 @@ def grounded_benchmark(spark, sf_dir):
             one = docs.join(own, F.contains("body", F.col("quote"))).select("doc_id", "item_id")
         met = one if met is None else met.unionByName(one)
     if met is None:
-        return items.select("item_id").crossJoin(docs.select("doc_id")).limit(0)
+        return docs.select(F.lit(None).cast("long").alias("item_id"), "doc_id").limit(0)
     # the key join carries ids alone; the passage itself confirms
     return met.join(items.select("item_id", "quote"), "item_id").join(docs, "doc_id").filter(F.contains("body", F.col("quote"))).select("item_id", "doc_id")
 
