@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnspark.functions import fixed, text
@@ -243,3 +243,15 @@ def first_hits(hits: DataFrame, per: int = 1) -> DataFrame:
     """The first occurrences of each value in text order."""
     order = Window.partitionBy("report_id", "type", "value").orderBy("source_index", "start")
     return hits.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per).drop("_n")
+
+
+class _IndicatorTable:
+    """Rows of a scan, for SQL."""
+
+    def eval(self, source: str):  # noqa: ANN201
+        yield from scan_text(rejoin_wrapped_hashes(source or ""))
+
+
+def register_table_function(spark: SparkSession, name: str = "extract_indicators") -> None:
+    """``SELECT r.id, i.* FROM reports r, LATERAL extract_indicators(r.text) i`` from then on."""
+    spark.udtf.register(name, F.udtf(_IndicatorTable, returnType="type string, value string, form string, start int, end int"))

@@ -26,33 +26,41 @@ class Day:
         self.spend = round(self.spend + cost, 6)
         return True
 
+    def take(self, kind: str, cost: float, *ceilings: float) -> bool:
+        """A request or a settlement."""
+        if kind != "settle":
+            return self.admit(kind, cost, *ceilings)
+        self.settle(cost)
+        return True
+
     def settle(self, delta: float) -> None:
         self.spend = round(max(0.0, self.spend + delta), 6)
 
 
 def admit(requests: DataFrame, reports: int = fixed.REPORTS_PER_DAY, agent_runs: int = fixed.AGENT_RUNS_PER_DAY, spend: float = fixed.SPEND_PER_DAY) -> DataFrame:
-    """Requests (day, seq, kind, cost) with ``admitted``. What a day admits depends on what it admitted before, so each day is a
-    fold in order of seq; days are the unit of work, and a day's rows stream through without being held."""
+    """Requests (day, seq, kind, cost) with ``admitted`` and the day's spending after each. What a day admits depends on what it
+    admitted before, so each day is a fold in order of seq; days are the unit of work, and a day's rows stream through without
+    being held. A row of kind "settle" corrects the spending by its cost, never below zero."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         day, state = None, Day()
         for frame in frames:
-            out = []
+            out, spent = [], []
             for d, kind, cost in zip(frame.day, frame.kind, frame.cost, strict=True):
                 if d != day:
                     day, state = d, Day()
-                out.append(state.admit(kind, cost, reports, agent_runs, spend))
-            frame["admitted"] = out
-            yield frame
+                out.append(state.take(kind, cost, reports, agent_runs, spend))
+                spent.append(state.spend)
+            yield frame.assign(admitted=out, spend_after=spent)
 
     rows = requests.select("day", "seq", "kind", "cost").repartition("day").sortWithinPartitions("day", "seq")
     kinds = dict(rows.dtypes)
-    return rows.mapInPandas(run, f"day {kinds['day']}, seq {kinds['seq']}, kind string, cost {kinds['cost']}, admitted boolean")
+    return rows.mapInPandas(run, f"day {kinds['day']}, seq {kinds['seq']}, kind string, cost {kinds['cost']}, admitted boolean, spend_after double")
 
 
 def daily(admitted: DataFrame) -> DataFrame:
     ok = F.col("admitted")
-    return admitted.groupBy("day").agg(F.count_if(ok & (F.col("kind") == "report")).alias("reports"), F.count_if(ok & (F.col("kind") == "agent")).alias("agent_runs"), F.round(F.sum(F.when(ok, F.col("cost")).otherwise(0.0)), 6).alias("spend_usd"))
+    return admitted.groupBy("day").agg(F.count_if(ok & (F.col("kind") == "report")).alias("reports"), F.count_if(ok & (F.col("kind") == "agent")).alias("agent_runs"), F.max_by("spend_after", "seq").alias("spend_usd"))
 
 
 def recent_days(days: DataFrame, keep: int = fixed.USAGE_DAYS) -> DataFrame:

@@ -33,7 +33,7 @@ def admit_stream(requests: DataFrame, reports: int, agent_runs: int, spend: floa
         day = Day(*state.get) if state.exists else Day()
         for frame in frames:
             frame = frame.sort_values("seq")
-            frame["admitted"] = [day.admit(kind, cost, reports, agent_runs, spend) for kind, cost in zip(frame.kind, frame.cost, strict=True)]
+            frame["admitted"] = [day.take(kind, cost, reports, agent_runs, spend) for kind, cost in zip(frame.kind, frame.cost, strict=True)]
             yield frame[["day", "seq", "kind", "cost", "admitted"]]
         state.update((day.reports, day.agent_runs, day.spend))
 

@@ -80,6 +80,8 @@ def test_caps(spark):
     made = usage.admit(spark.createDataFrame(rows, "day string, seq int, kind string, cost double"))
     assert [r.admitted for r in made.filter("day = 'd'").orderBy("seq").collect()] == [True, True, False, True, False]
     assert {r.day: (r.reports, r.agent_runs, r.spend_usd) for r in usage.daily(made).collect()} == {"d": (3, 0, 2.0), "e": (0, 5, 0.0)}
+    settled = usage.admit(spark.createDataFrame([("d", 0, "report", 1.9), ("d", 1, "report", 0.5), ("d", 2, "settle", -1.0), ("d", 3, "report", 0.5), ("d", 4, "settle", -9.0)], "day string, seq int, kind string, cost double"))
+    assert [(r.admitted, r.spend_after) for r in settled.orderBy("seq").collect()] == [(True, 1.9), (False, 1.9), (True, 0.9), (True, 1.4), (True, 0.0)]
     day = usage.Day(spend=0.5)
     day.settle(-0.7)
     assert day.spend == 0.0

@@ -106,3 +106,10 @@ def test_text_functions(spark):
     assert one(text.normalize_url(F.lit("HTTP://EVIL.com:80/Path)."))) == "http://evil.com:80/Path" and one(text.normalize_url(F.lit("nothing"))) is None
     assert one(text.normalize_ipv4(F.lit("1.2.3.04"))) is None
     assert one(text.format_pages(F.array(F.lit(1), F.lit(3)))) == "1, 3" and one(text.truncate_words(F.lit("a b c"), 2)) == "a b…"
+
+
+def test_table_function(spark):
+    indicators.register_table_function(spark)
+    spark.createDataFrame([(1, "see hxxp://evil[.]com/x and 45.66.77.88"), (2, None)], "id int, body string").createOrReplaceTempView("bodies")
+    rows = spark.sql("SELECT id, i.type, i.value, i.start FROM bodies, LATERAL extract_indicators(body) i ORDER BY id, start, type DESC").collect()
+    assert [tuple(r) for r in rows] == [(1, "url", "http://evil.com/x", 4), (1, "domain", "evil.com", 11), (1, "ipv4", "45.66.77.88", 28)]
