@@ -30,8 +30,9 @@ TUNE_QUERIES = 200
 #: Recall on the sample that the number of visited lists must reach.
 TUNE_RECALL = 0.96
 MOST_LISTS = 4096
-#: Rows of a list that one task scans.
-LIST_BLOCK = 4096
+#: Rows of a shard of lists, about, which one task scans; and queries that it takes at a time.
+SHARD_ROWS = 16_384
+QUERY_ROWS = 1024
 #: Columns of one block, and the standard deviations that the unseen part of a product is allowed for.
 COLUMNS = 16
 DEVIATIONS = 3.5
@@ -72,45 +73,65 @@ def nearest_list(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmin((centroids**2).sum(1) - 2 * (x[i : i + 8192] @ centroids.T), axis=1) for i in range(0, len(x), 8192)] or [np.zeros(0, int)])
 
 
-def scan(q: np.ndarray, x: np.ndarray, k: int, rotation: np.ndarray, skip: np.ndarray, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) that may be among each query's k largest products; ``skip`` is each query's own row here, or -1."""
-    d = q.shape[1]
-    rq, rx = q @ rotation, x @ rotation
-    edges = [*range(0, d, COLUMNS), d]
-    # of the columns from each edge on: norms, and so the deviation of a product of the unseen parts
-    tail = lambda m: np.stack([np.sqrt((m[:, e:] ** 2).sum(1)) for e in edges], 1)
-    tq, tx = tail(rq), tail(rx)
-    bar = np.full(len(q), -np.inf)
-    best = np.full((len(q), k), -np.inf)
-    found_q, found_x = [], []
-    for start in range(0, len(x), chunk):
-        stop = min(start + chunk, len(x))
-        part = rq[:, : edges[1]] @ rx[start:stop, : edges[1]].T
-        slack = DEVIATIONS / np.sqrt(max(1, d - edges[1])) * tq[:, 1:2] * tx[start:stop, 1]
-        alive = part + slack >= bar[:, None]
-        own = np.flatnonzero((skip >= start) & (skip < stop))
-        alive[own, skip[own] - start] = False
-        i, j = np.nonzero(alive)
-        value = part[i, j]
-        for n, (a, b) in enumerate(zip(edges[1:-1], edges[2:], strict=True), 2):
-            value = value + np.einsum("nd,nd->n", rq[i, a:b], rx[start + j, a:b])
-            if b < d:
-                on = value + DEVIATIONS / np.sqrt(d - b) * tq[i, n] * tx[start + j, n] >= bar[i]
-                i, j, value = i[on], j[on], value[on]
-        on = value >= bar[i] - 1e-6 * np.abs(bar[i]).clip(1e-6)  # the rotation rounds; ties must stay
-        i, j, value = i[on], j[on], value[on]
-        found_q.append(i)
-        found_x.append(j + start)
-        order = np.lexsort((-value, i))
-        i, value = i[order], value[order]
-        place = np.arange(len(i)) - np.searchsorted(i, i)
-        top = place < k
-        fresh = np.full((len(q), k), -np.inf)
-        fresh[i[top], place[top]] = value[top]
-        best = -np.sort(-np.concatenate([best, fresh], 1), axis=1)[:, :k]
-        bar = best[:, -1]
-    i, j = np.concatenate(found_q), np.concatenate(found_x)
-    return i, j
+class Shard:
+    """The rows of some lists, rotated, with the norms that the tests need."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, lists: np.ndarray, index: Index, k: int):
+        order = np.lexsort((ids, lists))
+        self.x, self.ids, lists = x[order], ids[order], lists[order]
+        self.index, self.k, d = index, k, x.shape[1]
+        self.edges = [*range(0, d, COLUMNS), d]
+        self.turned = self.x @ index.rotation
+        self.tails = self._tails(self.turned)
+        edge = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1], [True]]))
+        self.spans = [(int(lists[a]), int(a), int(b)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+    def _tails(self, m: np.ndarray) -> np.ndarray:
+        """Norms of the columns from each edge on."""
+        squares = np.concatenate([np.add.reduceat(m**2, self.edges[:-1], axis=1), np.zeros((len(m), 1))], 1)
+        return np.sqrt(np.cumsum(squares[:, ::-1], axis=1)[:, ::-1])
+
+    def scan(self, q: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score) of each query's k largest products in the lists it visits, without its own row."""
+        d, k = q.shape[1], self.k
+        near = q @ self.index.centroids.T
+        visits = min(self.index.probes, near.shape[1])
+        least = -np.partition(-near, visits - 1, axis=1)[:, visits - 1]
+        turned = q @ self.index.rotation
+        tails = self._tails(turned)
+        bar, best = np.full(len(q), -np.inf), np.full((len(q), k), -np.inf)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for number, start, stop in self.spans:
+            some = np.flatnonzero(near[:, number] >= least)
+            if not len(some):
+                continue
+            first = self.edges[1]
+            part = turned[some, :first] @ self.turned[start:stop, :first].T
+            slack = DEVIATIONS / np.sqrt(max(1, d - first)) * tails[some, 1][:, None] * self.tails[start:stop, 1]
+            i, j = np.nonzero((part + slack >= bar[some][:, None]) & (self.ids[start:stop] != asks[some][:, None]))
+            value, i, j = part[i, j], some[i], j + start
+            for n, (a, b) in enumerate(zip(self.edges[1:-1], self.edges[2:], strict=True), 2):
+                value = value + np.einsum("nd,nd->n", turned[i, a:b], self.turned[j, a:b])
+                if b < d:
+                    on = value + DEVIATIONS / np.sqrt(d - b) * tails[i, n] * self.tails[j, n] >= bar[i]
+                    i, j, value = i[on], j[on], value[on]
+            on = value >= bar[i] - 1e-6 * np.maximum(np.abs(bar[i]), 1e-6) if len(i) else np.zeros(0, bool)  # the rotation rounds; ties must stay
+            i, j, value = i[on], j[on], value[on]
+            if not len(i):
+                continue
+            found.append((i, j))
+            order = np.lexsort((-value, i))
+            ranked, value = i[order], value[order]
+            place = np.arange(len(ranked)) - np.searchsorted(ranked, ranked)
+            top = place < k
+            fresh = np.full((len(some), k), -np.inf)
+            fresh[np.searchsorted(some, ranked[top]), place[top]] = value[top]
+            best[some] = -np.partition(-np.concatenate([best[some], fresh], 1), k - 1, axis=1)[:, :k]
+            bar[some] = best[some].min(1)
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        i, j = (np.concatenate(f) for f in zip(*found, strict=True))
+        return _top(q, self.x, self.ids, i, j, k)
 
 
 def _top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, i: np.ndarray, j: np.ndarray, k: int):
@@ -156,56 +177,50 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
             own = nearest_list(_matrix(batch.column("vector")), index.centroids)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=["id", "vector", "list"])
 
+    copies = Window.partitionBy("vector").orderBy("id")
+    kept = rows.withColumn("_r", F.row_number().over(copies)).filter(F.col("_r") <= k + 1).select("id", "vector")
+    shards = max(1, -(-sizes.n // SHARD_ROWS))
+
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query once for every shard that holds a list it visits."""
         index = shared.value
         for batch in _doubles(batches):
-            at = np.argsort(-(_matrix(batch.column("vector")) @ index.centroids.T), axis=1)[:, : index.probes].astype(np.int32)
-            rows_ = pa.array(np.repeat(np.arange(batch.num_rows), at.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows_), batch.column("vector").take(rows_), pa.array(at.ravel())], names=["id", "vector", "list"])
-
-    copies = Window.partitionBy("vector").orderBy("id")
-    kept = rows.withColumn("_r", F.row_number().over(copies)).filter(F.col("_r") <= k + 1).select("id", "vector")
-    listed = kept.mapInArrow(dealt, "id long, vector binary, list int")
-    counts = listed.groupBy("list").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"))
-    stored = listed.join(counts, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "vector")
-    asked = rows.filter(queries).mapInArrow(sent, "id long, vector binary, list int").join(counts, "list")
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "id", "vector")
+            at = np.argsort(-(_matrix(batch.column("vector")) @ index.centroids.T), axis=1)[:, : index.probes] % shards
+            pairs = np.unique(np.stack([np.repeat(np.arange(batch.num_rows), at.shape[1]), at.ravel()], 1), axis=0)
+            rows_ = pa.array(pairs[:, 0])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows_), batch.column("vector").take(rows_), pa.array(pairs[:, 1].astype(np.int32))], names=["id", "vector", "shard"])
+
+    listed = kept.mapInArrow(dealt, "id long, vector binary, list int").withColumn("shard", F.col("list") % shards)
+    # a shard that is larger than most, as lists are uneven, is read in blocks; each query goes to all blocks of its shards
+    counts = listed.groupBy("shard").agg(F.ceil(F.count("*") / (2 * SHARD_ROWS)).cast("int").alias("blocks"))
+    stored = listed.join(counts, "shard").select("shard", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "list", "id", "vector")
+    asked = rows.filter(queries).mapInArrow(sent, "id long, vector binary, shard int").join(counts, "shard")
+    asked = asked.select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), F.lit(-1).alias("list"), "id", "vector")
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def group(part: pa.RecordBatch | pa.Table) -> pa.RecordBatch | None:
-            asks = part.column("asks").to_numpy()
-            split = int(np.searchsorted(asks, 1))
-            if split in (0, len(asks)):
-                return None
-            ids, every = part.column("id").to_numpy(), _matrix(part.column("vector").combine_chunks())
-            order = np.argsort(ids[:split], kind="stable")
-            x, xid = every[:split][order], ids[:split][order]
-            out = []
-            for a in range(split, len(asks), 1024):
-                q, qid = every[a : a + 1024], ids[a : a + 1024]
-                own = np.searchsorted(xid, qid)
-                own = np.where((own < len(xid)) & (xid[np.minimum(own, len(xid) - 1)] == qid), own, -1)
-                i, j = scan(q, x, k, shared.value.rotation, own)
-                i, j, score = _top(q, x, xid, i, j, k)
-                out.append((qid[i], xid[j], score))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=["query_id", "vec_id", "score"])
-
-        held: list[pa.RecordBatch] = []
+        """Rows sorted by shard, block and kind: a block's rows are held, then its queries pass by."""
+        now, held, shard = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            key = table.column("list").to_numpy().astype(np.int64) << 32 | table.column("block").to_numpy()
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
-                if (made := group(table.slice(s, e - s))) is not None:
-                    yield made
-            held = table.slice(edge[-1]).combine_chunks().to_batches()
-        if held and (made := group(pa.Table.from_batches(held))) is not None:
-            yield made
-
-    tasks = stored.unionByName(asked).repartition("list", "block").sortWithinPartitions("list", "block", "asks")
+            key = batch.column("shard").to_numpy().astype(np.int64) << 32 | batch.column("block").to_numpy()
+            asks = batch.column("asks").to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (asks[1:] != asks[:-1]), [True]]))
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if key[a] != now:
+                    now, held, shard = key[a], [], None
+                if not asks[a]:
+                    held.append(tuple(batch.column(c).slice(a, b - a) for c in ("vector", "id", "list")))
+                    continue
+                if shard is None and held:
+                    shard = Shard(np.concatenate([_matrix(v) for v, _, _ in held]), *(np.concatenate([h[c].to_numpy() for h in held]) for c in (1, 2)), shared.value, k)
+                    held = []
+                for c in range(a, b, QUERY_ROWS) if shard is not None else ():
+                    ids = batch.column("id").slice(c, min(QUERY_ROWS, b - c)).to_numpy()
+                    i, j, score = shard.scan(_matrix(batch.column("vector").slice(c, len(ids))), ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(shard.ids[j]), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    tasks = stored.unionByName(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", "asks")
     found = tasks.mapInArrow(scanned, "query_id long, vec_id long, score double")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
