@@ -232,14 +232,14 @@ def safe_name(filename: Column, sha256: Column) -> Column:
 
 def clean_description(text: Column, limit: int = 400) -> Column:
     """Technique descriptions without citations, links and backticks."""
-    for pattern, with_ in ((r"\(Citation:[^)]*\)", ""), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"</?code>|`", ""), (r"(?U)\s+", " ")):
+    for pattern, with_ in ((r"\(Citation:[^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), ("`+", ""), (r"(?U)\s+", " ")):
         text = F.regexp_replace(text, pattern, with_)
     return F.substring(F.trim(text), 1, limit)
 
 
 def neutralize_delimiters(text: Column) -> Column:
     """Break what looks like the report tags that frame untrusted text."""
-    return F.regexp_replace(text, r"(?i)<(\s*/?\s*report)", "&lt;$1")
+    return F.regexp_replace(text, r"(?i)<(\s*/?\s*report)", "‹$1")
 
 
 def framed_report(text: Column, nonce: Column) -> Column:
@@ -248,8 +248,13 @@ def framed_report(text: Column, nonce: Column) -> Column:
 
 def screened_tool_result(text: Column, nonce: Column) -> Column:
     """A tool's result between nonce tags; a body with a high finding is withheld."""
-    body = F.when(injection_name(text).isNotNull(), F.lit("[withheld: the result carried instructions]")).otherwise(neutralize_delimiters(text))
-    return F.concat(F.lit("<tool-"), nonce, F.lit(">\n"), body, F.lit("\n</tool-"), nonce, F.lit(">"))
+    body = F.when(injection_name(text).isNotNull(), F.lit("[result withheld: suspicious content detected]")).otherwise(text)
+    return F.concat(F.lit("<tool-result-"), nonce, F.lit(">\n"), body, F.lit("\n</tool-result-"), nonce, F.lit(">"))
+
+
+def technique_summary(id_: Column, name: Column, tactics: Column, description: Column) -> Column:
+    listed = F.when(F.size(tactics) > 0, F.array_join(tactics, ", ")).otherwise("unknown tactic")
+    return F.concat(id_, F.lit(" — "), name, F.lit(" (tactics: "), listed, F.lit(")\n"), description)
 
 
 def day_key(moment: Column, zone: str = "America/Toronto") -> Column:
