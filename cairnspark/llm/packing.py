@@ -11,6 +11,7 @@ looked at. Only a document longer than the capacity is cut.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -21,15 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.llm.arrowtext import padded, runs_of, steps, word_hashes
+from cairnspark.llm.arrowtext import give_back, padded, runs_of, steps, word_hashes
 from cairnspark.session import cut
 
 CAPACITY = 2048
 #: Distinct pieces of text whose ids a Python worker remembers; beyond, it forgets them all and goes on.
-REMEMBERED = 2_000_000
+REMEMBERED = 800_000
 STEP_BYTES = 1 << 20
-_SLOTS = 1 << 22
-_SHIFT = np.uint64(64 - 22)
+_LEARNED = 4000
+_SLOTS = 1 << 21
+_SHIFT = np.uint64(64 - 21)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 # bytes that end a letter: small ASCII letters, and after byte C3 the second bytes of letters up to U+00FF (multiplication and division signs are none)
@@ -50,6 +52,8 @@ class WordCache:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # a worker has one core; threads of its own would each keep an arena of memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.clear()
 
@@ -81,7 +85,10 @@ class WordCache:
             h, entry, slot = h[~own], entry[~own], (slot[~own] + 1) & (_SLOTS - 1)
 
     def _learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
-        made = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        # a few at a time: the tokenizer's own records of a piece are far larger than its ids
+        made: list[list[int]] = []
+        for a in range(0, len(pieces), _LEARNED):
+            made += [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces[a : a + _LEARNED]], add_special_tokens=False)]
         sizes = np.fromiter(map(len, made), np.int64, len(made))
         total = int(sizes.sum())
         while self.count + len(made) > len(self.begin):
@@ -149,6 +156,7 @@ def _pieces(path: str, capacity: int, end_id: int, id_type: pa.DataType):
                             column.append(value)
                 ids = part.column("id").take(pa.array(rows[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])], names=["id", "piece", "start", "length", "ids_crc32"])
+            give_back()
 
     return run
 
