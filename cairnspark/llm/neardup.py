@@ -1,10 +1,10 @@
 """Near duplicates by a MinHash LSH forest, with exact confirmation.
 
 A text is the set of its distinct word shingles. Texts with one and the same set are one node. A node's MinHash values stand in
-several orders, the trees of the forest. Nodes that share the first values of a tree form a region; a region that is too large
-goes deeper, to more values, and so on. Nodes of a region that look alike by their signatures are candidates, and the candidates'
-components are clusters: supersets of the true classes. Each cluster then gets its whole sets once, and every pair of it is
-compared exactly; a large cluster is compared block by block, so that no task holds more than two blocks.
+several orders, the trees of the forest, all read to one depth. Nodes that share the first values of a tree form a region, whatever its size. Nodes of
+a region that look alike by their signatures are candidates, and the candidates' components are clusters: supersets of the true
+classes. Each cluster then gets its whole sets once, and every pair of it is compared exactly. A large region and a large
+cluster are compared block by block, so that no task holds more than two blocks.
 
 Defined results: null or empty texts, and texts without words, have no shingles and no links; a text with fewer words than a
 shingle is one shingle; ties link (similarity at the threshold counts); repeated ids count as one document; other columns are
@@ -26,8 +26,8 @@ from cairnspark.session import cut
 
 VALUES = 128
 TREES = 24
-#: Values of a tree that nodes of a region share; the next depth is for regions of more than REGION nodes.
-DEPTHS = (4, 8, 12)
+#: Values of a tree that nodes of a region share. Regions of more than REGION nodes are compared in blocks of half as many.
+DEPTH = 4
 REGION = 4096
 #: Leading values that the first comparison takes, one byte each, and the share of them that must agree. At similarity 0.8 all
 #: but three in a million pairs agree in more.
@@ -94,25 +94,19 @@ def _nodes(size: int):
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each node and tree the hash of its first values, at each depth."""
+    """For each node and tree the hash of its first values."""
     for batch in batches:
         if not batch.num_rows:
             continue
         signed = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
-        ids = np.repeat(batch.column("id").to_numpy(), TREES)
-        columns = []
         key = np.broadcast_to(mixed(np.arange(1, TREES + 1, dtype=np.uint64)), (len(signed), TREES)).copy()
-        done = 0
-        for depth in DEPTHS:
-            for i in range(done, depth):
-                key = mixed(key + signed[:, (np.arange(TREES) * DEPTHS[0] + i) % VALUES])
-            done = depth
-            columns.append(pa.array(mixed(key + np.uint64(depth)).astype(np.int64).ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), *columns], names=["id", "k0", "k1", "k2"])
+        for i in range(DEPTH):
+            key = mixed(key + signed[:, (np.arange(TREES) * DEPTH + i) % VALUES])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), TREES)), pa.array(key.astype(np.int64).ravel())], names=["id", "region"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by region: for each region, links from each node to the least of its candidates' component within it."""
+    """Rows sorted by task: for each task, links from each node to the first of its candidates' component within it."""
 
     def links(region: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
@@ -123,9 +117,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a.append(ids[two])
         b.append(ids[two + 1])
         for s, e in zip(edge[:-1][size > 2], edge[1:][size > 2], strict=True):
-            own = sketch[s:e]
-            near = np.stack([(own == row).mean(1) >= ALIKE for row in own])
-            root = spread(near)
+            root = alike(sketch[s:e])
             away = np.flatnonzero(root != np.arange(e - s))
             a.append(ids[s:e][away])
             b.append(ids[s:e][root[away]])
@@ -148,6 +140,25 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from links(*(np.concatenate([h[i] for h in held]) for i in range(3)))
 
 
+def alike(sketch: np.ndarray) -> np.ndarray:
+    """The first number in the component of each node, linked where sketches agree in ALIKE of their values. A node is compared
+    only with nodes that nothing has reached yet."""
+    root = np.arange(len(sketch))
+    left, rest = root[1:].copy(), sketch[1:]
+    head, reached = 0, [0]
+    while len(left):
+        if not reached:
+            head, reached, left, rest = int(left[0]), [int(left[0])], left[1:], rest[1:]
+            continue
+        same = (rest == sketch[reached.pop()]).view(np.uint64).sum(1)  # eight counts of at most eight, one byte each
+        near = (same * np.uint64(0x0101010101010101)) >> np.uint64(56) >= ALIKE * SKETCH
+        if near.any():
+            root[left[near]] = head
+            reached += left[near].tolist()
+            left, rest = left[~near], rest[~near]
+    return root
+
+
 def spread(near: np.ndarray) -> np.ndarray:
     """The least number in the component of each node, from a symmetric matrix of links."""
     n = len(near)
@@ -243,23 +254,16 @@ def _shingled(size: int):
 
 def _candidates(nodes: DataFrame) -> DataFrame:
     """Links of candidates, from all regions of all trees."""
-    keyed = nodes.mapInArrow(_keys, "id long, k0 long, k1 long, k2 long")
-    regions, rest = [], keyed
-    for level in range(len(DEPTHS)):
-        counts = rest.groupBy(f"k{level}").agg(F.count("*").alias("_c")).filter("_c > 1")
-        sized = cut(rest.join(counts, f"k{level}")) if level == 0 else rest.join(counts, f"k{level}")
-        regions.append(sized.filter(F.col("_c") <= REGION).select(F.col(f"k{level}").alias("region"), "id"))
-        rest = sized.filter(F.col("_c") > REGION).drop("_c")
-    # at the last depth nodes agree in so many values that all of a large region count as candidates
-    last = f"k{len(DEPTHS) - 1}"
-    least = rest.groupBy(last).agg(F.min("id").alias("b"))
-    whole = rest.join(least, last).filter("id <> b").select(F.col("id").alias("a"), "b")
-    small = regions[0]
-    for more in regions[1:]:
-        small = small.unionByName(more)
+    keyed = nodes.mapInArrow(_keys, "id long, region long")
+    counts = keyed.groupBy("region").agg(F.count("*").alias("_c")).filter("_c > 1")
     sketches = nodes.select("id", F.col("sig")).mapInArrow(_sketched, "id long, sketch binary")
-    rows = small.join(sketches, "id").repartition("region").sortWithinPartitions("region")
-    return rows.mapInArrow(_alike, "a long, b long").unionByName(whole)
+    large = F.col("_c") > REGION
+    blocks = F.when(large, F.ceil(2 * F.col("_c") / REGION)).otherwise(1).cast("int")
+    placed = keyed.join(counts, "region").withColumn("_n", blocks).join(sketches, "id").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    dealt = placed.select("id", "sketch", "region", "_n", "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
+    task = F.when(F.col("_n") == 1, F.col("region")).otherwise(F.xxhash64("region", F.least("_b", "_o"), F.greatest("_b", "_o")))
+    rows = dealt.select(task.alias("region"), "id", "sketch").repartition("region").sortWithinPartitions("region")
+    return rows.mapInArrow(_alike, "a long, b long")
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,6 +62,27 @@ def test_deeper_regions_keep_a_large_group_whole(spark, monkeypatch):
     assert found == brute(rows, 2, 80)
 
 
+def test_pairs_at_the_threshold_inside_hot_regions(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 1)
+    rng = random.Random(5)
+    boilerplate, rows = [f"b{i}" for i in range(60)], []
+    for i in range(0, 200, 2):  # pairs that share 133 of 165 shingles, and 59 with all others
+        base = boilerplate + [f"w{rng.randrange(10**6)}" for _ in range(90)]
+        changed = set(range(65, 149, 11))
+        rows += [(i, " ".join(base)), (i + 1, " ".join(f"x{i}" if k in changed else w for k, w in enumerate(base)))]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert found == brute(rows, 2, 80) and {c for _, c in found.values()} == set(range(0, 200, 2))
+
+
+def test_alike_matches_all_pairs():
+    rng = np.random.default_rng(1)
+    for values in (2, 3, 4):
+        sketch = rng.integers(0, values, (120, neardup.SKETCH)).astype(np.uint8)
+        sketch[40:80] = np.where(rng.random((40, neardup.SKETCH)) < 0.3, sketch[40:80], sketch[:40])
+        near = np.stack([(sketch == row).mean(1) >= neardup.ALIKE for row in sketch])
+        assert (neardup.alike(sketch) == neardup.spread(near)).all()
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(docs).collect() == []
