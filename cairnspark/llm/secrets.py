@@ -93,9 +93,11 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[REDACTED]") -> DataFrame:
-    """The rows with each reported span replaced by ``mask``. Ids must be distinct; the join shuffles texts once."""
-    spans = scan_secrets(docs, id_col, text_col).filter(F.size("spans") > 0).select(F.col(id_col).alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    """The rows with each reported span replaced by ``mask``. Rows get the spans of their text, one to one, whatever their ids; the join
+    shuffles texts once."""
+    keyed = docs.withColumn("_key", F.sha2(F.coalesce(text_col, F.lit("")), 256))
+    spans = scan_secrets(keyed, "_key", text_col).filter(F.size("spans") > 0).groupBy("_key").agg(F.first("spans").alias("_spans"))
+    joined = keyed.join(spans, "_key", "left")
     text = F.col(text_col)
     # spans of different kinds may overlap: a gap is kept only where it starts beyond everything masked so far
     cuts = F.aggregate(

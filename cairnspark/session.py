@@ -50,3 +50,12 @@ def cut(frame: DataFrame) -> DataFrame:
     """Materialize in the shared checkpoint folder: lineage ends there and no later reader computes it again."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """Written once as Parquet in the shared checkpoint folder: for wide rows, of which later readers want some columns."""
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/written-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairnspark.llm import decontam, neardup, packing, quality, secrets
 from cairnspark.llm.labels import fold, labelled_sample
 from cairnspark.llm.tokenizer import word_bpe_path
-from cairnspark.session import ensure_checkpoint_dir, read_table
+from cairnspark.session import ensure_checkpoint_dir, read_table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,15 +23,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near duplicates: shingles of five words, similarity 0.8."""
-    kept = neardup.near_duplicates(docs, shingle=5, percent=80).filter("component_id = doc_id").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi")
+    """Keep one row of each class of near duplicates, that of the least id: shingles of five words, similarity 0.8. Rows are told
+    apart by a number that is written once, as ids may be null or repeated."""
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = neardup.near_duplicates(keyed, shingle=5, percent=80, id_col="_row").select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_row")
+    kept = found.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    return keyed.join(kept.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
-    found = decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return docs.join(found.filter(F.size("hits") > 0).select("doc_id"), "doc_id", "left_anti")
+    """Drop documents that hold a window of a benchmark item; texts, not ids, tell which."""
+    keyed = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = decontam.decontaminate(keyed, read_table(spark, sf_dir, "benchmark", "item_id", "text"), id_col="_key")
+    return keyed.join(found.filter(F.size("hits") > 0).select("_key").distinct(), "_key", "left_anti").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

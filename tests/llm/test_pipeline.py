@@ -64,6 +64,25 @@ def test_each_stage_against_brute_force(spark):
     assert max(bins.values()) <= 2048 and len(bins) <= 1.02 * sum(bins.values()) / 2048 + 1
 
 
+def test_null_and_repeated_ids(spark):
+    prose = lambda k: " ".join(f"w{k}x{n}" for n in range(60))
+    item = next(r.text for r in read_table(spark, SF, "benchmark").collect() if r.text and len(r.text.split()) > 20)
+    rows = [(None, prose(1)), (None, prose(2)), (None, prose(2)), (7, prose(3)), (7, prose(3)), (7, prose(4)), (5, prose(4)), (9, prose(5)), (None, prose(5)), (8, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t or "")) for i, t in rows], read_table(spark, SF, "documents").schema)
+    order = lambda frame: sorted(((r.doc_id, r.text) for r in frame.collect()), key=str)
+    want = [(None, prose(1)), (None, prose(2)), (7, prose(3)), (5, prose(4)), (9, prose(5)), (8, None), (None, None)]
+    assert order(STAGES["near_dedup"](spark, docs, SF)) == sorted(want, key=str)
+
+    rows = [(None, item), (None, prose(1)), (7, item), (7, prose(2)), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], docs.schema)
+    assert order(STAGES["decontamination"](spark, docs, SF)) == sorted([(None, prose(1)), (7, prose(2)), (8, None)], key=str)
+
+    secret = "with token = abcdefgh1234 in it"
+    rows = [(i, t) for i in (None, 7) for t in ("a " + secret, "a " + secret, "some more " + secret, "clean", None)]
+    docs = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], docs.schema)
+    assert order(STAGES["secrets"](spark, docs, SF)) == sorted([(i, t and t.replace("token = abcdefgh1234", "[REDACTED]")) for i, t in rows], key=str)
+
+
 def test_run_is_the_same_twice(spark):
     first, second = (sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect()) for _ in range(2))
     assert first == second and first
