@@ -43,15 +43,24 @@ def name_score(a: str, b: str) -> float:
     return max(best, ratio(both, with_(one)), ratio(both, with_(two))) if both else best
 
 
+def shared_run(threshold: float) -> int:
+    """Letters in a row that two different texts of a ratio of ``threshold`` have in common at least. Of s letters in both, d
+    are in no common subsequence, and cut the other (s - d) / 2 into d + 1 runs at most."""
+    return min(-(-(s - d) // (2 * (d + 1))) for s in range(1, 400) for d in range(2 - s % 2, int(s * (1 - threshold / 100) + 1e-9) + 1, 2)) if threshold < 99.5 else 1
+
+
 def possible_duplicates(nodes: DataFrame, threshold: float = 90, limit: int = 100, exhaustive: bool = False) -> DataFrame:
-    """(left_id, right_id, score), best first. Pairs share a type, and a word or the first three letters of their sorted words;
-    ``exhaustive`` compares all pairs of a type instead, which is for small graphs only."""
+    """(left_id, right_id, score), best first. Pairs share a type, and a word or, without one, as many letters in a row of their sorted
+    words as no pair at the threshold can lack; ``exhaustive`` compares all pairs of a type instead."""
     named = nodes.filter("type not in ('report', 'indicator') and name is not null and name <> ''").select("node_id", "type", "name")
-    if exhaustive:
+    run_length = shared_run(threshold)
+    if exhaustive or run_length < 1:
         keyed = named.withColumn("_k", F.lit(""))
     else:
         words = F.split(F.lower(F.trim("name")), r"(?U)\s+")
-        keyed = named.withColumn("_k", F.explode(F.array_distinct(F.concat(words, F.array(F.concat(F.lit("^"), F.substring(F.array_join(F.array_sort(words), " "), 1, 3)))))))
+        keyed = named.withColumn("_w", words).withColumn("_s", F.array_join(F.array_sort("_w"), " "))
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_s") - (run_length - 1), F.lit(1))), lambda i: F.concat(F.lit("^"), F.col("_s").substr(i, F.lit(run_length))))
+        keyed = keyed.withColumn("_k", F.explode(F.array_distinct(F.concat(F.transform("_w", lambda w: F.concat(F.lit("="), w)), runs))))
     left, right = (keyed.select("type", "_k", F.col("node_id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name")) for s in ("left", "right"))
     pairs = left.join(right, ["type", "_k"]).filter("left_id < right_id").select("left_id", "right_id", "left_name", "right_name").distinct()
 
