@@ -5,7 +5,7 @@ each other. Forward-backward gives each line's marginal; the mean of the margina
 rows, is the document's quality.
 
 Defined results: a null or empty text is one empty line and gets a score like any other; repeated rows get equal scores; other
-columns are not looked at.
+columns are not looked at, and the score's name must not be one of theirs.
 """
 
 from __future__ import annotations
@@ -198,6 +198,8 @@ def scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """The rows of ``docs`` with their score: a map, without a shuffle."""
+    if name in docs.columns:
+        raise ValueError(f"a column is named {name} already; give the score another name")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{name}` double"
 

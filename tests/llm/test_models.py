@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from cairnspark.llm import quality, toxicity
 from cairnspark.llm.arrowtext import utf8
@@ -71,37 +72,83 @@ def brute_kernel(s, t, order, decay):
     return total
 
 
-def test_kernel_matches_enumeration_and_bounds_hold():
+def test_kernel_matches_enumeration_in_every_way():
     rng = random.Random(0)
-    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(3, 8))).encode() for _ in range(30)]
-    found = toxicity.kernel(toxicity.letters(words, -1), toxicity.letters(words[::-1], -2))
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(3, 8))) for _ in range(30)]
+    codes = [toxicity.letter_codes(np.frombuffer(w.encode(), np.uint8)).tobytes() for w in words]
+    found = toxicity.kernel(toxicity.letters(codes, -1), toxicity.letters(codes[::-1], -2))
     assert np.allclose(found, [brute_kernel(a, b, toxicity.ORDER, toxicity.DECAY) for a, b in zip(words, words[::-1])])
-    # the bound by letters never hides a pair that reaches LEAST
-    model = toxicity.Model(sorted(set(words[:8])))
+    # the table over subsequences gives the same values, and leaves out only what is below LEAST
+    edge = bytes([toxicity.EDGE])
+    model = toxicity.Model([edge + w + edge for w in sorted(set(codes[:8]))])
     model.prepare()
-    texts = [b" ".join(words).decode()]
-    listed = toxicity.Words(*utf8(pa.array(texts)))
-    got = {(int(w), int(m)) for w, m, _ in zip(*toxicity.values(model, listed))}
-    for k, w in enumerate(words):
+    kind, table = toxicity.values(model, toxicity.Words(*utf8(pa.array([" ".join(words)]))))
+    for k, w in enumerate(codes):
+        w = edge + w + edge
         for m, mark in enumerate(model.landmarks):
             v = brute_kernel(w, mark, 3, toxicity.DECAY) / np.sqrt(brute_kernel(w, w, 3, toxicity.DECAY) * brute_kernel(mark, mark, 3, toxicity.DECAY))
-            assert ((k, m) in got) == (v >= toxicity.LEAST)
+            got = table[kind[k], m] if kind[k] >= 0 else 0
+            assert np.isclose(got, v**toxicity.POWER if v >= toxicity.LEAST else 0, atol=1e-5)
 
 
-def test_toxicity_catches_gapped_insults(spark):
-    rng = random.Random(3)
+def test_letters_of_other_scripts():
+    codes = lambda t: toxicity.letter_codes(np.frombuffer(t.encode(), np.uint8))
+    keep = lambda t: [int(c) for c in codes(t) if c]
+    assert keep("Straße ÉTÉ") == keep("strase ete") and keep("« ’ … ×") == [] and keep("привет") != keep("медвед") and len(keep("привет")) == 6
+
+
+def insult_rows(insults, n=400, every=5, held=2, seed=3):
+    rng = random.Random(seed)
     word = lambda: "".join(rng.choice("aeioustrnlh") for _ in range(rng.randint(2, 8)))
-    insults = ["grumblor", "fizwick", "vexpod"]
     rows = []
-    for i in range(400):
+    for i in range(n):
         w = [word() for _ in range(30)]
-        if i % 5 == 0:
-            w[rng.randrange(30)] = w[rng.randrange(30)] = rng.choice(insults)
-        rows.append((" ".join(w) + ".", int(i % 5 == 0)))
+        if i % every == 0:
+            for _ in range(held):
+                w[rng.randrange(30)] = rng.choice(insults)
+        rows.append((" ".join(w) + ".", int(i % every == 0)))
+    return rows
+
+
+def test_toxicity_catches_gapped_insults(spark):
+    rows = insult_rows(["grumblor", "fizwick", "vexpod"])
     model = toxicity.fit([t for t, _ in rows], [y for _, y in rows])
-    assert set(model.landmarks) == {w.encode() for w in insults}
-    tests = ["you " + w for w in ("grumblor", "gr.umb-lor", "Grum8blor", "f i z w i c k", "vexxpod")] + ["a plain and clean line", "", None, "grum"]
+    assert len(model.landmarks) == 3
+    tests = ["you " + w for w in ("grumblor", "gr.umb-lor", "Grum8blor", "f i z w i c k", "vexxpod", "vexpxod", "v*xpod", "GRÜMBLÖR")] + ["a plain and clean line", "", None, "grum"]
     scores = toxicity.scores(model, *utf8(pa.array(tests)))
-    assert (scores[:5] >= toxicity.THRESHOLD).all() and (scores[5:] < toxicity.THRESHOLD).all()
-    odd = spark.createDataFrame([(1, None, 1), (2, "x" * 5000, 1), (2, "x" * 5000, 1)], "doc_id long, text string, predicted int")
-    assert toxicity.score_documents(odd, model).count() == 3 and toxicity.score_documents(odd.limit(0), model).collect() == []
+    assert (scores[:8] >= toxicity.THRESHOLD).all() and (scores[8:] < toxicity.THRESHOLD).all()
+    odd = spark.createDataFrame([(1, None, 1), (2, "x" * 5000, 1), (2, "x" * 5000, 1), (3, "x" * 4000 + "vexpod", 1)], "doc_id long, text string, predicted int")
+    assert toxicity.score_documents(odd, model).count() == 4 and toxicity.score_documents(odd.limit(0), model).collect() == []
+    for module in (toxicity, quality):
+        with pytest.raises(ValueError):
+            module.score_documents(odd.withColumnRenamed("predicted", "score"), model)
+
+
+def test_toxicity_learns_rare_families_beside_common_insults():
+    """Ten common insults, and a family of thirty inflected, accented words of one stem in a tenth as many rows."""
+    tails = ["an", "ichen", "ück", "ei", "ent", "eu", "ihr", "ig", "isch", "kr", "lo", "nd", "ng", "sp", "tum"]
+    common = insult_rows(["grumblor", "fizwick", "vexpod", "quabdorn"], 1500, 5, 3, 1)
+    family = insult_rows(["göwéi" + t for t in tails], 400, 5, 4, 2)
+    rows = common + family
+    model = toxicity.fit([t for t, _ in rows], [y for _, y in rows])
+    test = insult_rows(["göwéi" + t for t in (*tails, "bach", "xim")], 300, 3, 4, 9)
+    scores = toxicity.scores(model, *utf8(pa.array([t for t, _ in test])))
+    y = np.array([y for _, y in test])
+    assert (scores[y == 1] >= toxicity.THRESHOLD).mean() > 0.95 and (scores[y == 0] < toxicity.THRESHOLD).mean() > 0.97
+
+
+def test_one_insult_in_a_copied_family_is_no_landmark():
+    rows = insult_rows(["grumblor", "fizwick"], 300)
+    template = "some lines of a form letter that are copied again and again with other words all over the place " * 2
+    rows += [(template + f"n{k}", 1) for k in range(40)]
+    assert len(toxicity.choose_landmarks([t for t, _ in rows], [y for _, y in rows])) <= 4
+
+
+def test_the_fitting_sample_is_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (1000 if i % 2 else 10)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    every = fold("doc_id", 4) >= 0
+    assert len(labelled_sample(docs, labels, "toxic", every, 100)[0]) == 60
+    assert len(labelled_sample(docs.unionByName(docs), labels, "toxic", every, 25)[0]) <= 25
+    assert 8000 < sum(map(len, labelled_sample(docs, labels, "toxic", every, 100, most_bytes=10_000)[0])) <= 10_000
+    assert labelled_sample(docs.limit(0), labels, "toxic", every, 100) == ([], [])
