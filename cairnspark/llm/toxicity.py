@@ -378,7 +378,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 4) -> Model:
         of.append(t + a)
         rows.append(r)
     of, raw = np.concatenate(of), np.concatenate(rows)
-    x = raw @ model.root
+    x = (raw @ model.root).astype(np.float32)
     look = raw.max(1, initial=0)
     plain = np.bincount(of, minlength=len(y)) == 0
     for _ in range(rounds):
@@ -387,7 +387,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 4) -> Model:
         worst = order[np.concatenate([[True], of[order][1:] != of[order][:-1]])] if len(order) else order
         bad = np.union1d(worst, np.flatnonzero(look > 0.5))
         rows_p, rows_n = bad[y[of[bad]] == 1], np.flatnonzero(y[of] == 0)
-        points = np.concatenate([x[rows_p], x[rows_n], np.zeros((2, m))])
+        points = np.concatenate([x[rows_p], x[rows_n], np.zeros((2, m), np.float32)])
         sign = np.concatenate([np.ones(len(rows_p)), -np.ones(len(rows_n)), [1, -1]])
         # either side counts the same in all, as sentences of toxic rows are few
         mass = np.concatenate([np.full(len(rows_p), 1.0), np.full(len(rows_n), 1.0), [(plain & (y == 1)).sum(), (plain & (y == 0)).sum()]])
@@ -424,14 +424,14 @@ def _calibrated(x: np.ndarray, y: np.ndarray, each: np.ndarray, level: float) ->
 
 def _machine(x: np.ndarray, sign: np.ndarray, mass: np.ndarray, ridge: float = 1e-3, rounds: int = 12) -> tuple[np.ndarray, float]:
     """Squared-hinge machine by Newton steps over the points inside the margin; ``mass`` counts equal points."""
-    x1 = np.concatenate([x, np.ones((len(x), 1))], 1)
+    x1 = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
     total, w = mass.sum(), np.zeros(x1.shape[1])
     penalty = ridge * np.concatenate([np.ones(x.shape[1]), [0]])
     for _ in range(rounds):
         short = 1 - sign * (x1 @ w)
         inside = short > 0
-        part, m = x1[inside], mass[inside]
-        h = 2 * (part * m[:, None]).T @ part / total + np.diag(penalty + 1e-9)
+        part, m = x1[inside], mass[inside].astype(x1.dtype)
+        h = 2 * ((part * m[:, None]).T @ part).astype(float) / total + np.diag(penalty + 1e-9)
         new = np.linalg.solve(h, 2 * part.T @ (m * sign[inside]) / total)
         w, old = new, w
         if np.allclose(w, old, atol=1e-4):
