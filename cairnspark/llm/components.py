@@ -13,12 +13,12 @@ MOST_ROUNDS = 60
 
 def _large(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a")))
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(links: DataFrame) -> DataFrame:
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut(links.groupBy("a").agg(F.min("b").alias("m")))
     return links.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -33,8 +33,9 @@ def _mark(links: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """Links (a, b) to rows (a, b): every node that is not the least of its component, with that least node.
 
-    Both steps are joins on a node against one row per node, which split a hot node's rows; each round is written to the
-    checkpoint folder, so a lost executor costs one round at most.
+    Both steps are joins on a node against one row per node. That side is written first, so that the join reads two plain
+    shuffles and adaptive execution can divide a hot node's rows among tasks; each round is written to the checkpoint folder,
+    so a lost executor costs one round at most.
     """
     now = cut(_oriented(links))
     mark = _mark(now)

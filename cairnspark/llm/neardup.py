@@ -1,14 +1,18 @@
 """Near duplicates by a MinHash LSH forest, with exact confirmation.
 
 A text is the set of its distinct word shingles. Texts with one and the same set are one node. A node's MinHash values stand in
-several orders, the trees of the forest, all read to one depth. Nodes that share the first values of a tree form a region, whatever its size. Nodes of
-a region that look alike by their signatures are candidates, and the candidates' components are clusters: supersets of the true
-classes. Each cluster then gets its whole sets once, and every pair of it is compared exactly. A large region and a large
-cluster are compared block by block, so that no task holds more than two blocks.
+several orders, the trees of the forest; each tree sorts the nodes by its order. Nodes that share the first DEPTH values of a
+tree form a region, whatever its size, and lie side by side in it. Neighbours in the sorted order have the longest common
+prefixes and are compared first; a region of more than a few nodes is then read from its deepest prefixes up, at each depth
+only across what deeper ones have not linked yet, down to DEPTH values for every region. So the depth adapts to the region,
+and no pair that shares DEPTH values of a tree goes uncompared unless a chain of likenesses joins it already. Nodes that look
+alike by their signatures are candidates, and the candidates' components are clusters: supersets of the true classes. Each
+cluster then gets its whole sets once, and every pair of it is compared exactly. A large region and a large cluster are
+compared block by block, so that no task holds more than two blocks.
 
 Defined results: null or empty texts, and texts without words, have no shingles and no links; a text with fewer words than a
-shingle is one shingle; ties link (similarity at the threshold counts); repeated ids count as one document; other columns are
-not looked at. Ids are whole numbers.
+shingle is one shingle; ties link (similarity at the threshold counts); rows of a repeated id are rows of their own; a row
+without an id takes part, and a class in which no row has an id has none either; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,13 +26,17 @@ from pyspark.sql import functions as F
 
 from cairnspark.llm.arrowtext import mixed, padded, runs_of, steps, word_hashes
 from cairnspark.llm.components import components
+from cairnspark.llm.rowkeys import keyed
 from cairnspark.session import cut
 
 VALUES = 128
 TREES = 24
-#: Values of a tree that nodes of a region share. Regions of more than REGION nodes are compared in blocks of half as many.
+#: Values of a tree that nodes of a region share, and further values that the order in a region goes by. Regions of more than
+#: REGION nodes are compared in blocks of half as many; those of more than FEW are read from the deepest prefixes up.
 DEPTH = 4
+FURTHER = 4
 REGION = 4096
+FEW = 32
 #: Leading values that the first comparison takes, one byte each, and the share of them that must agree. At similarity 0.8 all
 #: but three in a million pairs agree in more.
 SKETCH = 64
@@ -88,74 +96,109 @@ def _nodes(size: int):
                 sets = shingle_sets(data, offsets, size)
                 sums = np.array([[len(s), mixed(s).sum(), mixed(s + np.uint64(77)).sum()] for s in sets], np.uint64).astype(np.int64)
                 signed = pa.array([row.tobytes() for row in signatures(sets)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(sums[:, 2]), signed], names=["id", "n", "f1", "f2", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("id"), part.column("own"), *(pa.array(sums[:, i]) for i in range(3)), signed], names=["doc", "id", "own", "n", "f1", "f2", "sig"])
 
     return run
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each node and tree the hash of its first values."""
+    """For each node and tree the hash of its first values, and the further ones as one number that sorts like them."""
     for batch in batches:
         if not batch.num_rows:
             continue
         signed = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
+        at = np.arange(TREES) * DEPTH
         key = np.broadcast_to(mixed(np.arange(1, TREES + 1, dtype=np.uint64)), (len(signed), TREES)).copy()
+        rest = np.zeros((len(signed), TREES), np.uint64)
         for i in range(DEPTH):
-            key = mixed(key + signed[:, (np.arange(TREES) * DEPTH + i) % VALUES])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), TREES)), pa.array(key.astype(np.int64).ravel())], names=["id", "region"])
+            key = mixed(key + signed[:, (at + i) % VALUES])
+        for i in range(DEPTH, DEPTH + FURTHER):
+            rest = (rest << np.uint64(16)) | signed[:, (at + i) % VALUES]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), TREES)), pa.array(key.astype(np.int64).ravel()), pa.array(rest.astype(np.int64).ravel())], names=["node", "region", "rest"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by task: for each task, links from each node to the first of its candidates' component within it."""
+    """Rows sorted by task and, in it, by the tree's order: links from nodes to others of their candidates' component within it."""
 
-    def links(region: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(region: np.ndarray, rest: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
         size = np.diff(edge)
-        a, b = [], []
-        two = edge[:-1][size == 2]
-        two = two[(sketch[two] == sketch[two + 1]).mean(1) >= ALIKE]
-        a.append(ids[two])
-        b.append(ids[two + 1])
+        # neighbours in the order, all at once: regions of two nodes are done with that
+        near = (region[1:] == region[:-1]) & ((sketch[1:] == sketch[:-1]).sum(1) >= ALIKE * SKETCH)
+        a, b = [ids[1:][near]], [ids[:-1][near]]
+        run = np.concatenate([[0], np.cumsum(~near)])  # neighbours that look alike are one class from the start
         for s, e in zip(edge[:-1][size > 2], edge[1:][size > 2], strict=True):
-            root = alike(sketch[s:e])
-            away = np.flatnonzero(root != np.arange(e - s))
-            a.append(ids[s:e][away])
-            b.append(ids[s:e][root[away]])
+            if run[s] != run[e - 1]:
+                own = run[s:e] - run[s]
+                root = ascended(rest[s:e], own, sketch[s:e]) if e - s > FEW else joined(own, sketch[s:e])
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                away = np.flatnonzero(root != np.arange(len(root)))  # a class's first node, linked to that of the class it has joined
+                a.append(ids[s:e][first[away]])
+                b.append(ids[s:e][first[root[away]]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     held: list[tuple] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        region, ids = batch.column("region").to_numpy(), batch.column("id").to_numpy()
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-        held.append((region, ids, sketch))
-        if held[0][0][0] == region[-1]:
+        held.append((batch.column("region").to_numpy(), batch.column("rest").to_numpy(), batch.column("node").to_numpy(), sketch))
+        if held[0][0][0] == held[-1][0][-1]:
             continue
-        region, ids, sketch = (np.concatenate([h[i] for h in held]) for i in range(3))
-        last = int(np.searchsorted(region, region[-1]))  # the last region may go on in the next batch
-        yield from links(region[:last], ids[:last], sketch[:last])
-        held = [(region[last:], ids[last:], sketch[last:])]
+        columns = [np.concatenate([h[i] for h in held]) for i in range(4)]
+        last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last region may go on in the next batch
+        yield from links(*(c[:last] for c in columns))
+        held = [tuple(c[last:] for c in columns)]
     if held:
-        yield from links(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+        yield from links(*(np.concatenate([h[i] for h in held]) for i in range(4)))
+
+
+def common_values(rest: np.ndarray) -> np.ndarray:
+    """How many further values each node shares with the one before it in the order."""
+    other = (rest[1:] ^ rest[:-1]).view(np.uint64)
+    return sum((other >> np.uint64(16 * (FURTHER - k)) == 0).astype(np.int64) for k in range(1, FURTHER + 1))
+
+
+def ascended(rest: np.ndarray, own: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """The class of each class in a region, by nodes in the tree's order: prefixes of all further values first, then shorter ones,
+    at last the region itself. What a deeper prefix has joined is one class above."""
+    shared, now = common_values(rest), own.copy()
+    for depth in range(FURTHER, -1, -1):
+        edge = np.concatenate([[0], np.flatnonzero(shared < depth) + 1, [len(own)]])
+        for s, e in zip(edge[:-1], edge[1:], strict=True):
+            if e - s > 1 and now[s:e].min() != now[s:e].max():
+                kinds, inner = np.unique(now[s:e], return_inverse=True)
+                root = joined(inner, sketch[s:e])
+                gone = root != np.arange(len(kinds))
+                if gone.any():
+                    table = np.arange(len(own))
+                    table[kinds[gone]] = kinds[root[gone]]
+                    now = table[now]
+    out = np.zeros(own.max() + 1, np.int64)
+    out[own] = now
+    return out
 
 
-def alike(sketch: np.ndarray) -> np.ndarray:
-    """The first number in the component of each node, linked where sketches agree in ALIKE of their values. A node is compared
-    only with nodes that nothing has reached yet."""
-    root = np.arange(len(sketch))
-    left, rest = root[1:].copy(), sketch[1:]
-    head, reached = 0, [0]
+def joined(own: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """The least class that each class is joined with, where sketches of their nodes agree in ALIKE of their values. Nodes are
+    compared only with classes that nothing has reached yet, and a class is reached whole."""
+    root = np.arange(int(own.max()) + 1)
+    left, kinds, rest = np.arange(len(own)), own, sketch
+    reached: list[int] = []
     while len(left):
         if not reached:
-            head, reached, left, rest = int(left[0]), [int(left[0])], left[1:], rest[1:]
-            continue
-        same = (rest == sketch[reached.pop()]).view(np.uint64).sum(1)  # eight counts of at most eight, one byte each
-        near = (same * np.uint64(0x0101010101010101)) >> np.uint64(56) >= ALIKE * SKETCH
-        if near.any():
-            root[left[near]] = head
-            reached += left[near].tolist()
-            left, rest = left[~near], rest[~near]
+            head = int(kinds[0])
+            hit = kinds == head
+        else:
+            same = (rest == sketch[reached.pop()]).view(np.uint64).sum(1)  # eight counts of at most eight, one byte each
+            near = (same * np.uint64(0x0101010101010101)) >> np.uint64(56) >= ALIKE * SKETCH
+            if not near.any():
+                continue
+            new = np.unique(kinds[near])
+            root[new] = head
+            hit = np.isin(kinds, new)
+        reached += left[hit].tolist()
+        left, kinds, rest = left[~hit], kinds[~hit], rest[~hit]
     return root
 
 
@@ -215,21 +258,20 @@ def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def group(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
             ids = np.array([r[0] for r in rows])
-            order = np.argsort(ids, kind="stable")
-            order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
-            ids = ids[order]
-            root = spread(exact_links([np.frombuffer(rows[i][1], np.uint64) for i in order], percent))
+            root = spread(exact_links([np.frombuffer(r[1], np.uint64) for r in rows], percent))
             away = np.flatnonzero(root != np.arange(len(ids)))
             return ids[away], ids[root[away]]
 
         key, rows, a, b = None, [], [], []
         for batch in batches:
-            for now, i, s in zip(batch.column("task").to_pylist(), batch.column("id").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+            for now, i, s in zip(batch.column("task").to_pylist(), batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
                 if now != key and rows:
                     x, y = group(rows)
                     a.append(x)
                     b.append(y)
                     rows = []
+                if now == key and rows and rows[-1][0] == i:
+                    continue  # the same node from another copy of its row
                 key = now
                 rows.append((i, s))
             if a:
@@ -247,22 +289,21 @@ def _shingled(size: int):
         for batch in batches:
             for part, data, offsets in steps(batch, "text"):
                 sets = pa.array([s.tobytes() for s in shingle_sets(data, offsets, size)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("cluster"), part.column("block"), part.column("blocks"), sets], names=["id", "cluster", "block", "blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "cluster", "block", "blocks")), sets], names=["node", "cluster", "block", "blocks", "shingles"])
 
     return run
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
     """Links of candidates, from all regions of all trees."""
-    keyed = nodes.mapInArrow(_keys, "id long, region long")
-    counts = keyed.groupBy("region").agg(F.count("*").alias("_c")).filter("_c > 1")
-    sketches = nodes.select("id", F.col("sig")).mapInArrow(_sketched, "id long, sketch binary")
-    large = F.col("_c") > REGION
-    blocks = F.when(large, F.ceil(2 * F.col("_c") / REGION)).otherwise(1).cast("int")
-    placed = keyed.join(counts, "region").withColumn("_n", blocks).join(sketches, "id").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
-    dealt = placed.select("id", "sketch", "region", "_n", "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
+    placed = nodes.mapInArrow(_keys, "node long, region long, rest long")
+    counts = placed.groupBy("region").agg(F.count("*").alias("_c")).filter("_c > 1")
+    sketches = nodes.select("node", "sig").mapInArrow(_sketched, "node long, sketch binary")
+    blocks = F.when(F.col("_c") > REGION, F.ceil(2 * F.col("_c") / REGION)).otherwise(1).cast("int")
+    placed = placed.join(counts, "region").withColumn("_n", blocks).join(sketches, "node").withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    dealt = placed.select("node", "sketch", "region", "rest", "_n", "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
     task = F.when(F.col("_n") == 1, F.col("region")).otherwise(F.xxhash64("region", F.least("_b", "_o"), F.greatest("_b", "_o")))
-    rows = dealt.select(task.alias("region"), "id", "sketch").repartition("region").sortWithinPartitions("region")
+    rows = dealt.select(task.alias("region"), "rest", "node", "sketch").repartition("region").sortWithinPartitions("region", "rest")
     return rows.mapInArrow(_alike, "a long, b long")
 
 
@@ -271,23 +312,28 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             signed = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
             low = np.ascontiguousarray(signed[:, -SKETCH:] & np.uint16(0xFF)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in low], pa.binary())], names=["id", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in low], pa.binary())], names=["node", "sketch"])
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_shingles, component_id (the least id of its class)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = cut(texts.mapInArrow(_nodes(shingle), "id long, n long, f1 long, f2 long, sig binary"))
+    texts = keyed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = cut(texts.mapInArrow(_nodes(shingle), f"doc {kind}, id long, own long, n long, f1 long, f2 long, sig binary"))
     # one node for all texts with the same set: counted before the shuffle, so a hot copy is one row per task
-    nodes = cut(rows.filter("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.min("sig").alias("sig")))
+    nodes = rows.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("doc"), F.min(F.struct("id", "own")).alias("_k"), F.min("sig").alias("sig"))
+    nodes = cut(nodes.select("n", "f1", "f2", "doc", "_k.id", "_k.own", "sig", F.monotonically_increasing_id().alias("node")))
     clustered = components(_candidates(nodes))
-    members = clustered.select(F.col("a").alias("id"), F.col("b").alias("cluster")).unionByName(clustered.select(F.col("b").alias("id"), F.col("b").alias("cluster")).distinct())
-    members = members.join(nodes.select("id", "n"), "id")
+    members = clustered.select(F.col("a").alias("node"), F.col("b").alias("cluster")).unionByName(clustered.select(F.col("b").alias("node"), F.col("b").alias("cluster")).distinct())
+    members = members.join(nodes.select("node", "id", "own", "n"), "node")
     sized = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(sized, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    sets = members.select("id", "cluster", "block", "blocks").join(texts, "id").mapInArrow(_shingled(shingle), "id long, cluster long, block int, blocks int, shingles binary")
+    members = members.join(sized, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sets = members.select("node", "id", "own", "cluster", "block", "blocks").join(texts.select("id", "own", "text"), ["id", "own"])
+    sets = sets.select("node", "cluster", "block", "blocks", "text").mapInArrow(_shingled(shingle), "node long, cluster long, block int, blocks int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o")
-    dealt = sets.select("id", "cluster", "block", "shingles", other).select("id", "shingles", F.xxhash64("cluster", F.least("block", "_o"), F.greatest("block", "_o")).alias("task"))
-    linked = components(dealt.repartition("task").sortWithinPartitions("task", "id").mapInArrow(_confirm(percent), "a long, b long"))
-    roots = nodes.select("n", "f1", "f2", "id").join(linked.select(F.col("a").alias("id"), "b"), "id", "left").select("n", "f1", "f2", F.coalesce("b", "id").alias("component_id"))
-    return rows.select("id", "n", "f1", "f2").join(roots, ["n", "f1", "f2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    dealt = sets.select("node", "cluster", "block", "shingles", other).select("node", "shingles", F.xxhash64("cluster", F.least("block", "_o"), F.greatest("block", "_o")).alias("task"))
+    linked = components(dealt.repartition("task").sortWithinPartitions("task", "node").mapInArrow(_confirm(percent), "a long, b long"))
+    rooted = nodes.select("n", "f1", "f2", "doc", "node").join(linked.select(F.col("a").alias("node"), "b"), "node", "left").withColumn("b", F.coalesce("b", "node"))
+    least = rooted.groupBy("b").agg(F.min("doc").alias("component_id"))
+    roots = rooted.select("n", "f1", "f2", "b").join(least, "b").select("n", "f1", "f2", "component_id")
+    return rows.select("doc", "n", "f1", "f2").join(roots, ["n", "f1", "f2"], "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cairnspark.llm import neardup
@@ -43,8 +44,9 @@ def corpus(seed, groups=12, size=14):
     return rows
 
 
-@pytest.mark.parametrize(("shingle", "region", "block"), [(2, 4096, 1024), (5, 4096, 3)])
-def test_matches_brute_force(spark, monkeypatch, shingle, region, block):
+@pytest.mark.parametrize(("shingle", "region", "block", "few"), [(2, 4096, 1024, 32), (5, 4096, 3, 2)])
+def test_matches_brute_force(spark, monkeypatch, shingle, region, block, few):
+    monkeypatch.setattr(neardup, "FEW", few)
     monkeypatch.setattr(neardup, "REGION", region)
     monkeypatch.setattr(neardup, "BLOCK_NODES", block)
     rows = corpus(shingle + region)
@@ -74,13 +76,52 @@ def test_pairs_at_the_threshold_inside_hot_regions(spark, monkeypatch):
     assert found == brute(rows, 2, 80) and {c for _, c in found.values()} == set(range(0, 200, 2))
 
 
-def test_alike_matches_all_pairs():
+def least_of(root):
+    """Class numbers as the least node of each class."""
+    return np.array([np.flatnonzero(root == r)[0] for r in root])
+
+
+def test_joined_and_ascended_match_all_pairs():
     rng = np.random.default_rng(1)
     for values in (2, 3, 4):
         sketch = rng.integers(0, values, (120, neardup.SKETCH)).astype(np.uint8)
         sketch[40:80] = np.where(rng.random((40, neardup.SKETCH)) < 0.3, sketch[40:80], sketch[:40])
         near = np.stack([(sketch == row).mean(1) >= neardup.ALIKE for row in sketch])
-        assert (neardup.alike(sketch) == neardup.spread(near)).all()
+        want = neardup.spread(near)
+        assert (least_of(neardup.joined(np.arange(120), sketch)) == want).all()
+        rest = np.sort(rng.integers(0, 3, (120, 4)) @ (1 << np.array([48, 32, 16, 0])))
+        assert (least_of(neardup.ascended(rest, np.arange(120), sketch)) == want).all()
+
+
+def test_common_values():
+    number = lambda *v: sum(int(x) << (16 * (3 - k)) for k, x in enumerate(v))
+    rest = np.array([number(1, 2, 3, 4), number(1, 2, 3, 4), number(1, 2, 3, 5), number(1, 2, 4, 4), number(1, 3, 3, 4), number(2, 3, 3, 4)])
+    assert neardup.common_values(rest).tolist() == [4, 3, 2, 1, 0]
+
+
+def test_recall_of_regions_at_the_threshold():
+    """Pairs at similarity 0.8 that share no region of any tree: a few in a million expected, none of 2,000 seen."""
+    rng, missed = np.random.default_rng(4), 0
+    for _ in range(20):
+        sets = []
+        for _ in range(100):
+            common = rng.integers(0, 2**63, 160).astype(np.uint64)
+            sets += [np.unique(np.concatenate([common, rng.integers(0, 2**63, 20).astype(np.uint64)])) for _ in range(2)]
+        nodes = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array([r.tobytes() for r in neardup.signatures(sets)], pa.binary())], names=["node", "sig"])
+        region = next(neardup._keys(iter([nodes]))).column("region").to_numpy().reshape(100, 2, neardup.TREES)
+        missed += int((region[:, 0] != region[:, 1]).all(1).sum())
+    assert missed == 0
+
+
+def test_repeated_and_null_ids(spark):
+    rows = corpus(11, 6, 8)
+    texts = [t for _, t in rows]
+    want = brute(list(enumerate(texts)), 2, 80)
+    for kind, name in (("long", lambda k: [3, None, k][k % 3]), ("string", lambda k: ["a", None, f"k{k}"][k % 3])):
+        docs = spark.createDataFrame([(name(k), t) for k, t in enumerate(texts)], f"doc_id {kind}, text string")
+        least = {c: min((name(k) for k in want if want[k][1] == c and name(k) is not None), default=None) for _, c in want.values()}
+        found = [(r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 2).collect()]
+        assert sorted(map(str, found)) == sorted(str((name(k), n, least[c] if n else name(k))) for k, (n, c) in want.items())
 
 
 def test_empty_table(spark):
