@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairnspark.functions import fixed, text
 
@@ -259,3 +260,29 @@ def summary_inputs(node: DataFrame) -> DataFrame:
 def graph_json(node: DataFrame, edge: DataFrame) -> DataFrame:
     """Node-link lines: one JSON object per node and per edge, for a text sink."""
     return node.select(F.to_json(F.struct(F.lit("node").alias("kind"), *node.columns)).alias("value")).unionByName(edge.select(F.to_json(F.struct(F.lit("edge").alias("kind"), *edge.columns)).alias("value")))
+
+
+def read_graph_json(lines: DataFrame, node_schema: StructType, edge_schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """Lines of ``graph_json`` back to (nodes, edges); lines that are neither are passed over."""
+    kind = F.get_json_object("value", "$.kind")
+    of = lambda name, schema: lines.filter(kind == name).select(F.from_json("value", schema).alias("_x")).select("_x.*")
+    return of("node", node_schema), of("edge", edge_schema)
+
+
+def list_reports(contributions: DataFrame, limit: int | None = None) -> DataFrame:
+    """(report_id, name, ingest_seq) of the merged reports, newest first; of reports merged at once the greater id first."""
+    reports = contributions.filter("type = 'report'").groupBy("report_id").agg(F.max_by("name", "ingest_seq").alias("name"), F.max("ingest_seq").alias("ingest_seq"))
+    listed = reports.orderBy(F.desc("ingest_seq"), F.desc("report_id"))
+    return listed if limit is None else listed.limit(limit)
+
+
+def named_reports(contributions: DataFrame, wanted: Column) -> DataFrame:
+    """(node_id, report_id, report_name) of the wanted nodes: a report that is not in the graph goes by its id."""
+    names = list_reports(contributions).select("report_id", F.col("name").alias("report_name"))
+    rows = contributions.filter(wanted).select("node_id", "report_id").distinct().join(names, "report_id", "left")
+    return rows.select("node_id", "report_id", F.coalesce("report_name", "report_id").alias("report_name"))
+
+
+def found_by(edge: DataFrame, modes: tuple[str, ...], mode_col: str = "mode") -> DataFrame:
+    """Edges that one of the modes has found; edges without a mode are those of the pipeline."""
+    return edge.filter(F.coalesce(F.col(mode_col), F.lit("pipeline")).isin(*modes))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cairnspark.functions import fixed, text
 from cairnspark.operators.repair import rejoin_wrapped_hashes
+from cairnspark.session import cut
 
 # Fixed values, plain spellings by type. Boundaries are ASCII.
 PATTERNS = {
@@ -217,10 +218,11 @@ def aggregate(hits: DataFrame, section_pages: DataFrame | None = None) -> DataFr
 
 
 def extract_indicators(reports: DataFrame) -> DataFrame:
-    """Reports (report_id, pages, tables) to their indicators."""
+    """Reports (report_id, pages, tables) to their indicators. Texts are scanned once; hits, which the steps after it read several
+    times, are written with the few characters around them."""
     from cairnspark.operators.sections import section_pages
 
-    return aggregate(spelled_hits(document_sources(reports)), section_pages(reports))
+    return aggregate(cut(spelled_hits(document_sources(reports))), section_pages(reports))
 
 
 def was_defanged(forms: Column, value: Column) -> Column:

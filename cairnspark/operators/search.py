@@ -38,12 +38,21 @@ def bm25(corpus: DataFrame, keys: tuple[str, ...], text_col: str, query: str, wi
     counted = rows.select(*keys, "_size", *[F.size(F.filter("_t", _is(t))).alias(f"_c{i}") for i, t in enumerate(terms)])
     totals = counted.groupBy(*within).agg(F.count("*").alias("_n"), F.avg("_size").alias("_avg"), *[F.count_if(F.col(f"_c{i}") > 0).alias(f"_d{i}") for i in range(len(terms))])
     idf_of = lambda d: F.log(F.col("_n") - d + 0.5) - F.log(d + 0.5)
-    every = rows.select(*within, F.explode(F.array_distinct("_t")).alias("_w")).groupBy(*within, "_w").agg(F.count("*").alias("_d"))
-    joined = every.join(totals.select(*within, "_n"), list(within)) if within else every.crossJoin(totals.select("_n"))
-    mean = joined.groupBy(*within).agg(F.avg(idf_of(F.col("_d"))).alias("_mean"))
-    scored = counted
-    for side in (totals, mean):
-        scored = scored.join(side, list(within)) if within else scored.crossJoin(side)
+    # terms of all rows are counted only where a query token has a negative idf
+    common = F.lit(False)
+    for i in range(len(terms)):
+        common = common | (idf_of(F.col(f"_d{i}")) < 0)
+    mean_of = lambda every, n: every.agg(F.avg(F.log(n - F.col("_d") + 0.5) - F.log(F.col("_d") + 0.5)).alias("_mean"))
+    if within:
+        needy = totals.filter(common).select(*within, "_n")
+        every = rows.join(needy, list(within)).select(*within, "_n", F.explode(F.array_distinct("_t")).alias("_w")).groupBy(*within, "_n", "_w").agg(F.count("*").alias("_d"))
+        scored = counted.join(totals, list(within)).join(mean_of(every.groupBy(*within), F.col("_n")), list(within), "left")
+    else:
+        known = totals.withColumn("_common", common).first()
+        mean = 0.0
+        if known["_common"]:
+            mean = mean_of(rows.select(F.explode(F.array_distinct("_t")).alias("_w")).groupBy("_w").agg(F.count("*").alias("_d")).groupBy(), F.lit(known["_n"])).first()[0]
+        scored = counted.withColumns({c: F.lit(known[c]) for c in totals.columns} | {"_mean": F.lit(mean)})
     total, overlap = F.lit(0.0), F.lit(0)
     for i, t in enumerate(terms):
         idf = idf_of(F.col(f"_d{i}"))

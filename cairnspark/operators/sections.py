@@ -33,13 +33,18 @@ def heading_pages(reports: DataFrame) -> DataFrame:
     return lines.withColumn("_in", F.coalesce(state, F.lit(False))).groupBy("report_id", "page").agg(F.bool_or("_in").alias("_in")).filter("_in").select("report_id", "page")
 
 
+def dense_pages(pages: DataFrame) -> DataFrame:
+    """(report_id, page, n) of pages (report_id, page, text) with more than DENSITY_FACTOR times their report's average of indicator
+    shapes per character. Averages are sums made before the shuffle, one row a report, so no report's pages meet in one task."""
+    counted = pages.select("report_id", "page", F.regexp_count("text", F.lit("(?i)" + fixed.DENSITY_PATTERN)).alias("n"), F.greatest(F.length("text"), F.lit(1)).alias("size"))
+    average = counted.groupBy("report_id").agg((F.sum("n") / F.sum("size")).alias("_average")).filter("_average > 0")
+    return counted.join(average, "report_id").filter(F.col("n") / F.col("size") > fixed.DENSITY_FACTOR * F.col("_average")).select("report_id", "page", "n")
+
+
 def density_pages(reports: DataFrame) -> DataFrame:
-    """(report_id, page) with more than DENSITY_FACTOR times the report's average of indicator shapes per character."""
-    pages = reports.select("report_id", F.posexplode("pages").alias("_p", "_t"))
-    counted = pages.select("report_id", (F.col("_p") + 1).alias("page"), F.regexp_count("_t", F.lit("(?i)" + fixed.DENSITY_PATTERN)).alias("n"), F.greatest(F.length("_t"), F.lit(1)).alias("size"))
-    whole = Window.partitionBy("report_id")
-    average = F.sum("n").over(whole) / F.sum("size").over(whole)
-    return counted.withColumn("_average", average).filter((F.col("_average") > 0) & (F.col("n") / F.col("size") > fixed.DENSITY_FACTOR * F.col("_average"))).select("report_id", "page")
+    """(report_id, page) of the dense pages of reports (report_id, pages)."""
+    pages = reports.select("report_id", F.posexplode("pages").alias("_p", "text"))
+    return dense_pages(pages.select("report_id", (F.col("_p") + 1).alias("page"), "text")).select("report_id", "page")
 
 
 def section_pages(reports: DataFrame) -> DataFrame:

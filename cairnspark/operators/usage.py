@@ -79,3 +79,19 @@ def run_budgets(steps: DataFrame, calls: int = 8, tokens: int = 60_000, seconds:
     sofar = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
     done = F.count("*").over(before)
     return steps.withColumns({"calls_before": done, "tokens_before": sofar("tokens"), "seconds_before": sofar("seconds")}).withColumn("allowed", (F.col("calls_before") < calls) & (F.col("tokens_before") < tokens) & (F.col("seconds_before") < seconds))
+
+
+def totals(calls: DataFrame, by: tuple[str, ...] = ("report_id",)) -> DataFrame:
+    """Calls, tokens, cost and time of each run. A cached call costs nothing, whatever it did when it was made."""
+    paid = F.when(F.coalesce("cached", F.lit(False)), 0.0).otherwise(F.col("cost_usd"))
+    return calls.groupBy(*by).agg(
+        F.count("*").alias("calls"), F.count_if("cached").alias("cached_calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        F.sum(paid).alias("cost_usd"), F.sum("duration_ms").alias("duration_ms"),
+    )
+
+
+def list_runs(runs: DataFrame, limit: int = 50, by: tuple[str, ...] = ("document",), order: str = "run_seq") -> DataFrame:
+    """The newest record of each run's document, newest first."""
+    others = [c for c in runs.columns if c not in by and c != order]
+    last = runs.groupBy(*by).agg(F.max(order).alias(order), *[F.max_by(c, order).alias(c) for c in others])
+    return last.orderBy(F.desc(order), *by).limit(limit)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnspark.functions import fixed, text
 from cairnspark.operators import chunking, claims, duplicates, evaluate, graph, indicators, injection, sanitize, search, sections, usage
-from cairnspark.session import read_table
+from cairnspark.session import cut, read_table
 from cairnspark.sources import store
 
 DOCS = ("documents", "doc_id", "text")
@@ -32,7 +32,8 @@ def ioc_hash_documents(spark, sf_dir):
 def ioc_counts_by_type(spark, sf_dir):
     """Distinct values and occurrences of each type."""
     hits = _hits(spark, sf_dir, "ipv4", "email", "md5", "sha1", "sha256", "sha512", "cve")
-    return hits.groupBy("type").agg(F.countDistinct("value").alias("n_values"), F.count("*").alias("n_hits"))
+    each = hits.groupBy("type", "value").agg(F.count("*").alias("n"))
+    return each.groupBy("type").agg(F.count("*").alias("n_values"), F.sum("n").alias("n_hits"))
 
 
 def url_normalize_pages(spark, sf_dir):
@@ -84,7 +85,8 @@ def _contributions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     """Node and edge contributions: documents as reports, addresses, e-mails and hashes as indicators, sources as campaigns."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
     sequence = docs.select(F.concat(F.lit("report--"), F.col("doc_id")).alias("report_id"), F.col("doc_id").alias("ingest_seq"), F.concat(F.lit("doc "), F.col("doc_id")).alias("filename"), "source")
-    found = indicators.counted(indicators.pattern_hits(docs, "doc_id", "text", ("ipv4", "email", "sha1")), "doc_id")
+    # written once: nodes, edges and every hop read the few values, not the texts again
+    found = cut(indicators.counted(indicators.pattern_hits(docs, "doc_id", "text", ("ipv4", "email", "sha1")), "doc_id"))
     empty = lambda kind: F.array().cast(kind)
     values = found.select(F.concat(F.lit("report--"), F.col("doc_id")).alias("report_id"), "type", "value", empty("array<int>").alias("pages"), F.array(F.concat(F.col("value"), F.lit(" x"), F.col("occurrences"))).alias("contexts"), empty("array<string>").alias("flags"))
     campaigns = sequence.select("report_id", F.lit("campaign").alias("type"), F.col("source").alias("name"), empty("array<string>").alias("aliases"), empty("array<string>").alias("descriptions"), empty("array<string>").alias("evidence"), F.lit(1).alias("ordinal"))
@@ -279,11 +281,9 @@ def injection_scan_conversations(spark, sf_dir):
 
 def section_density_documents(spark, sf_dir):
     """Sources as reports, documents as their pages: pages dense in indicators."""
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source").filter("text is not null")
-    counted = docs.select("source", "doc_id", F.regexp_count("text", F.lit(r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b|\b[a-fA-F0-9]{32,128}\b")).alias("n"), F.greatest(F.length("text"), F.lit(1)).alias("size"))
-    whole = Window.partitionBy("source")
-    dense = counted.withColumn("_a", F.sum("n").over(whole) / F.sum("size").over(whole)).filter((F.col("_a") > 0) & (F.col("n") / F.col("size") > fixed.DENSITY_FACTOR * F.col("_a")))
-    return dense.select("source", "doc_id", F.col("n").cast("long").alias("n"))
+    pages = read_table(spark, sf_dir, "documents", "doc_id", "text", "source").filter("text is not null")
+    dense = sections.dense_pages(pages.select(F.col("source").alias("report_id"), F.col("doc_id").alias("page"), "text"))
+    return dense.select(F.col("report_id").alias("source"), F.col("page").alias("doc_id"), F.col("n").cast("long").alias("n"))
 
 
 def headings_documents(spark, sf_dir):

@@ -148,8 +148,8 @@ SELECT *, 'added' AS change FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'dro
     "quarantine_counts_pages": r"""SELECT page_id, len(regexp_extract_all(html, '<!--', 0)) AS comments, len(regexp_extract_all(html, '(?i)<(?:script|style|noscript|template|iframe|object|embed|svg)[\s>]', 0)) AS elements,
 len(regexp_extract_all(html, '(?i)<(?:meta|link)[\s>/]', 0)) AS meta, len(regexp_extract_all(html, '(?i)display\s*:\s*none|visibility\s*:\s*hidden|\saria-hidden=.?true', 0)) AS hiding FROM pages""",
     "injection_scan_conversations": _injection(),
-    "section_density_documents": r"""
-WITH c AS (SELECT source, doc_id, len(regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b|\b[a-fA-F0-9]{32,128}\b', 0)) AS n, greatest(len(text), 1) AS size FROM documents WHERE text IS NOT NULL),
+    "section_density_documents": rf"""
+WITH c AS (SELECT source, doc_id, len(regexp_extract_all(text, '(?i){fixed.DENSITY_PATTERN}', 0)) AS n, greatest(len(text), 1) AS size FROM documents WHERE text IS NOT NULL),
 a AS (SELECT *, sum(n) OVER (PARTITION BY source) / sum(size) OVER (PARTITION BY source) AS a FROM c) SELECT source, doc_id, n FROM a WHERE a > 0 AND n / size > 3 * a""",
     "bm25_documents": _BM25,
     "usage_daily_events": """SELECT day, count(*) FILTER (event_type <> 'purchase') AS reports, count(*) FILTER (event_type = 'purchase') AS agent_runs, round(sum(cost), 4) AS spend_usd
