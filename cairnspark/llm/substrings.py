@@ -10,8 +10,8 @@ and travel as one block. A block whose anchor occurs nowhere else is done. A blo
 whole. The others, one of each, go through the digits of eight bytes in memory.
 
 Defined results: matches stay inside texts; null or empty texts, and texts shorter than ``depth``, keep everything; overlapping
-and self-overlapping repeats count; rows repeated whole are repeats of each other; a row without an id keeps its text; other
-columns are not looked at. Ids are whole numbers.
+and self-overlapping repeats count; rows repeated whole are repeats of each other. Rows are told apart by id and text, so ids may
+repeat, be null and have any type that casts to a string; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.llm.arrowtext import mixed, steps
+from cairnspark.llm.rowkeys import keyed
 from cairnspark.session import cut
 
 DEPTH = 200
 GRAM = 100
 #: Anchors of more distinct blocks than this are refined window by window over the cluster, not in one task.
-HOT_BLOCKS = 30_000
+HOT_BLOCKS = 3_000
 #: Suffixes that one radix sort holds, about; a group is never divided.
 SORT_SUFFIXES = 400_000
 _PLACE = np.uint64((1 << 28) - 1)
@@ -98,8 +99,8 @@ def _blocks(depth: int, gram: int):
             for part, data, offsets in steps(batch, "text"):
                 text, first, windows, one, anchor, block, again = blocks(data, offsets, depth, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(text)), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(one.astype(np.int32)), pa.array(anchor), pa.array(block), pa.array(again)],
-                    names=["id", "first", "windows", "one", "anchor", "block", "again"],
+                    [part.column("id").take(pa.array(text)), part.column("own").take(pa.array(text)), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(one.astype(np.int32)), pa.array(anchor), pa.array(block), pa.array(again)],
+                    names=["id", "own", "first", "windows", "one", "anchor", "block", "again"],
                 )
 
     return run
@@ -133,7 +134,7 @@ def _fetch(depth: int, hot: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = batch.column("text").cast(pa.large_binary()), batch.column("id")
+            texts, ids, owns = batch.column("text").cast(pa.large_binary()), batch.column("id"), batch.column("own")
             for k, wanted in enumerate(batch.column("wanted").to_pylist()):
                 raw = texts[k].as_py()
                 rows = [(w["anchor"], w["first"], raw[w["first"] : w["first"] + w["one"] + depth - 1], w["alone"]) for w in wanted]
@@ -141,7 +142,8 @@ def _fetch(depth: int, hot: bool):
                     rows = [(a, f + i, hashlib.blake2b(b[i : i + depth], digest_size=16).digest(), alone) for a, f, b, alone in rows for i in range(len(b) - depth + 1)]
                 a, f, b, alone = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[k].as_py()] * len(rows), pa.int64()), pa.array(a, pa.int64()), pa.array(f, pa.int32()), pa.array(b, pa.binary()), pa.array(alone, pa.bool_())], names=["id", "anchor", "first", "bytes", "alone"]
+                    [pa.repeat(ids[k], len(rows)), pa.repeat(owns[k], len(rows)), pa.array(a, pa.int64()), pa.array(f, pa.int32()), pa.array(b, pa.binary()), pa.array(alone, pa.bool_())],
+                    names=["id", "own", "anchor", "first", "bytes", "alone"],
                 )
 
     return run
@@ -150,60 +152,64 @@ def _fetch(depth: int, hot: bool):
 def _sorted_blocks(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[tuple]) -> pa.RecordBatch:
-            ids, anchors, firsts = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-            sizes = np.array([len(r[3]) for r in rows])
-            data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+            ids, owns, anchors, firsts = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+            sizes = np.array([len(r[4]) for r in rows])
+            data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
             begin = np.cumsum(sizes) - sizes
             windows = sizes - depth + 1
             of = np.repeat(np.arange(len(rows)), windows)
             inner = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
             found = repeated_suffixes(data, begin[of] + inner, np.unique(anchors, return_inverse=True)[1][of], depth)
-            alone = np.array([r[4] for r in rows])
+            alone = np.array([r[5] for r in rows])
             found &= alone[of]
             head = found & ~np.concatenate([[False], found[:-1] & (of[1:] == of[:-1])])
             tail = found & ~np.concatenate([found[1:] & (of[1:] == of[:-1]), [False]])
             a, b = np.flatnonzero(head), np.flatnonzero(tail)
-            return pa.RecordBatch.from_arrays([pa.array(ids[of[a]]), pa.array(firsts[of[a]] + inner[a]), pa.array(firsts[of[b]] + inner[b] + depth)], names=["id", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[of[a]]), pa.array(owns[of[a]]), pa.array(firsts[of[a]] + inner[a]), pa.array(firsts[of[b]] + inner[b] + depth)], names=["id", "own", "start", "end"])
 
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("id", "anchor", "first", "bytes", "alone")), strict=True):
-                if held > SORT_SUFFIXES and row[1] != rows[-1][1]:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("id", "own", "anchor", "first", "bytes", "alone")), strict=True):
+                if rows and row[:4] == rows[-1][:4]:
+                    continue  # the same block of the same row, from a second copy of that row
+                if held > SORT_SUFFIXES and row[2] != rows[-1][2]:
                     yield done(rows)
                     rows, held = [], 0
                 rows.append(row)
-                held += len(row[3]) - depth + 1
+                held += len(row[4]) - depth + 1
         if rows:
             yield done(rows)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ranges (id, start, end) of bytes covered by repeated strings; ranges of one text may overlap."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= depth)
-    every = texts.mapInArrow(_blocks(depth, gram), "id long, first int, windows int, one int, anchor long, block long, again boolean")
+def _spans(texts: DataFrame, depth: int, gram: int) -> DataFrame:
+    """Ranges (id, own, start, end) of bytes covered by repeated strings; ranges of one text may overlap."""
+    texts = texts.select("id", "own", "text").filter(F.octet_length("text") >= depth)
+    every = texts.mapInArrow(_blocks(depth, gram), "id long, own long, first int, windows int, one int, anchor long, block long, again boolean")
     known = every.groupBy("anchor").agg(F.count("*").alias("_n"), F.min("block").alias("_a"), F.max("block").alias("_b"), F.max("again").alias("_r")).filter("_n > 1 or _r")
     met = cut(every.join(known.select("anchor", (F.col("_a") != F.col("_b")).alias("mixed")), "anchor"))
-    distinct = met.filter("mixed").groupBy("anchor", "block").agg(F.count("*").alias("_n"), F.max("again").alias("_r"), F.min(F.struct("id", "first", "one")).alias("_f"))
+    distinct = met.filter("mixed").groupBy("anchor", "block").agg(F.count("*").alias("_n"), F.max("again").alias("_r"), F.min(F.struct("id", "own", "first", "one")).alias("_f"))
     distinct = cut(distinct.select("anchor", "block", (~((F.col("_n") > 1) | F.col("_r"))).alias("alone"), "_f.*"))
-    span = lambda frame: frame.select("id", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") + depth - 1).cast("long").alias("end"))
+    span = lambda frame: frame.select("id", "own", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") + depth - 1).cast("long").alias("end"))
     whole = span(met.filter("not mixed")).unionByName(span(met.filter("mixed").join(distinct.filter("not alone").select("anchor", "block"), ["anchor", "block"])))
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("_c"), F.max("alone").alias("_any"))
     # where every block of an anchor is repeated as a whole, nothing is left to find
     open_ = distinct.join(sizes.filter("_any"), "anchor").withColumn("hot", F.col("_c") > HOT_BLOCKS)
 
     def fetched(hot: bool) -> DataFrame:
-        wanted = open_.filter(F.col("hot") == hot).groupBy("id").agg(F.collect_list(F.struct("anchor", "first", "one", "alone")).alias("wanted"))
-        return texts.dropDuplicates(["id"]).join(wanted, "id").mapInArrow(_fetch(depth, hot), "id long, anchor long, first int, bytes binary, alone boolean")
+        wanted = open_.filter(F.col("hot") == hot).groupBy("id", "own").agg(F.collect_list(F.struct("anchor", "first", "one", "alone")).alias("wanted"))
+        return texts.join(wanted, ["id", "own"]).mapInArrow(_fetch(depth, hot), "id long, own long, anchor long, first int, bytes binary, alone boolean")
 
-    partly = fetched(False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_blocks(depth), "id long, start long, end long")
+    partly = fetched(False).repartition("anchor").sortWithinPartitions("anchor", "id", "own", "first").mapInArrow(_sorted_blocks(depth), "id long, own long, start long, end long")
     out = whole.unionByName(partly)
     if open_.filter("hot").limit(1).count():
         windows = fetched(True)
-        twice = windows.groupBy("anchor", "bytes").agg(F.count("*").alias("_n")).filter("_n > 1")
-        out = out.unionByName(windows.filter("alone").join(twice, ["anchor", "bytes"]).select("id", F.col("first").cast("long").alias("start"), (F.col("first") + depth).cast("long").alias("end")))
+        # a window is counted once for each place of a row, however many copies of the row there are
+        twice = windows.groupBy("anchor", "bytes").agg(F.min(F.struct("id", "own", "first")).alias("_a"), F.max(F.struct("id", "own", "first")).alias("_b")).filter("_a <> _b")
+        found = windows.filter("alone").join(twice.select("anchor", "bytes"), ["anchor", "bytes"])
+        out = out.unionByName(found.select("id", "own", F.col("first").cast("long").alias("start"), (F.col("first") + depth).cast("long").alias("end")))
     return out
 
 
@@ -226,12 +232,13 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((len(raw), sum(b - a for a, b in merged), len(merged), kept.hexdigest(), [{"start": a, "end": b} for a, b in merged]))
         columns = list(zip(*rows, strict=True)) or [()] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_bytes, n_removed, n_spans, kept_sha256, removed (byte ranges, apart from each other)."""
-    spans = repeated_spans(docs, depth, gram, id_col, text_col).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = texts.join(spans, "id", "left").mapInArrow(_cut_out, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
-    return out.withColumnRenamed("id", id_col)
+    texts = keyed(docs, id_col, text_col)
+    spans = _spans(texts, depth, gram).groupBy("id", "own").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = texts.join(spans, ["id", "own"], "left").select("doc", "text", "spans").mapInArrow(_cut_out, f"doc {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
+    return out.withColumnRenamed("doc", id_col)

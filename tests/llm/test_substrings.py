@@ -57,3 +57,19 @@ def test_repeated_rows_remove_each_other(spark):
     text = " ".join(f"word{i}" for i in range(100))
     found = substrings.remove_repeats(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).collect()
     assert [(r.n_bytes, r.n_removed) for r in found] == [(len(text), len(text))] * 2
+
+
+@pytest.mark.parametrize("hot", [2, 30_000])
+def test_repeated_null_and_text_ids(spark, monkeypatch, hot):
+    """Rows with one id and different texts are rows of their own: each loses only what it repeats."""
+    monkeypatch.setattr(substrings, "HOT_BLOCKS", hot)
+    rows = [t for _, t in texts(7)]
+    order = lambda found: sorted((str(i), *rest) for i, *rest in found)
+    for kind, name in (("long", lambda k: [1, None, k][k % 3]), ("string", lambda k: ["a", None, f"k{k}"][k % 3])):
+        named = [(name(k), t) for k, t in enumerate(rows)]
+        found = substrings.remove_repeats(spark.createDataFrame(named, f"doc_id {kind}, text string"), 60, 24).collect()
+        want = [(named[k][0], *rest) for k, *rest in brute(list(enumerate(rows)), 60)]
+        assert order((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == order(want)
+    a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
+    found = substrings.remove_repeats(spark.createDataFrame([(1, a), (1, b), (2, a)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in found) == sorted([(1, len(a)), (1, 0), (2, len(a))])
