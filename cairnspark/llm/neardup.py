@@ -35,7 +35,7 @@ TREES = 24
 #: REGION nodes are compared in blocks of half as many; those of more than FEW are read from the deepest prefixes up.
 DEPTH = 4
 FURTHER = 4
-REGION = 4096
+REGION = 1024
 FEW = 32
 #: Leading values that the first comparison takes, one byte each, and the share of them that must agree. At similarity 0.8 all
 #: but three in a million pairs agree in more.

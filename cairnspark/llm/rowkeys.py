@@ -14,3 +14,11 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     doc, text = F.col(id_col), F.col(text_col)
     key = F.coalesce(doc.cast("long") if whole else F.xxhash64(doc.cast("string")), F.lit(-1).cast("long"))
     return docs.select(doc.alias("doc"), key.alias("id"), F.xxhash64(text, doc.isNull()).alias("own"), text.alias("text"))
+
+
+def fresh(frame: DataFrame, stem: str) -> str:
+    """A column name that the frame does not have, in whatever case."""
+    taken = {c.lower() for c in frame.columns}
+    while stem.lower() in taken:
+        stem = "_" + stem
+    return stem

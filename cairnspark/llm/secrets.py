@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnspark.llm.rowkeys import fresh
+from cairnspark.session import cut
+
 
 def either_case(words: str) -> str:
     """The pattern with each letter in either case, as classes: no engine then folds letters outside ASCII."""
@@ -95,13 +98,15 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[REDACTED]") -> DataFrame:
     """The rows with each reported span replaced by ``mask``. Rows get the spans of their text, one to one, whatever their ids; the join
     shuffles texts once."""
-    keyed = docs.withColumn("_key", F.sha2(F.coalesce(text_col, F.lit("")), 256))
-    spans = scan_secrets(keyed, "_key", text_col).filter(F.size("spans") > 0).groupBy("_key").agg(F.first("spans").alias("_spans"))
-    joined = keyed.join(spans, "_key", "left")
+    key, held = fresh(docs, "_text_key"), fresh(docs, "_text_spans")
+    keyed = docs.withColumn(key, F.sha2(F.coalesce(text_col, F.lit("")), 256))
+    # written first, so that the join reads two plain shuffles and a text that many rows share can be divided among tasks
+    spans = cut(scan_secrets(keyed, key, text_col).filter(F.size("spans") > 0).groupBy(key).agg(F.first("spans").alias(held)))
+    joined = keyed.join(spans, key, "left")
     text = F.col(text_col)
     # spans of different kinds may overlap: a gap is kept only where it starts beyond everything masked so far
     cuts = F.aggregate(
-        "_spans",
+        held,
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
         lambda s, x: F.struct(
             F.greatest(s["at"], x["end"]).alias("at"),
@@ -109,4 +114,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
         ),
         lambda s: F.concat(s["out"], text.substr((s["at"] + 1).cast("int"), F.length(text))),
     )
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(cuts)).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.col(held).isNull(), text).otherwise(cuts)).select(*docs.columns)

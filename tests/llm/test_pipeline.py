@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from test_decontam import brute as hit_by_windows
 from test_neardup import brute as classes
 from test_secrets import brute as base_spans
@@ -83,6 +84,37 @@ def test_null_and_repeated_ids(spark):
     assert order(STAGES["secrets"](spark, docs, SF)) == sorted([(i, t and t.replace("token = abcdefgh1234", "[REDACTED]")) for i, t in rows], key=str)
 
 
+CLASHES = ("_score", "score", "_row", "_key", "_text_key", "_text_spans", "spans", "component_id", "n", "hits", "predicted")
+
+
+def odd_rows(spark):
+    """Null, empty, blank, very long and repeated texts, and null and repeated ids, with columns named like the stages' own."""
+    prose = "\n".join(" ".join(f"word{k}x{n}" for n in range(12)).capitalize() + "." for k in range(8))
+    rows = [(1, prose), (1, prose), (2, None), (3, ""), (4, " \n\t "), (None, prose + " Another line of words."), (None, None), (5, "x" * 300_000), (6, "many plain words. " * 20_000), (7, "é 日本 ß")]
+    named = [(i, t, None if i == 2 else "en", "x", len(t or ""), *range(len(CLASHES))) for i, t in rows]
+    return spark.createDataFrame(named, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASHES))
+
+
+@pytest.mark.parametrize("name", ["quality", "near_dedup", "decontamination", "secrets"])
+def test_odd_rows_and_clashing_names(spark, name):
+    docs = odd_rows(spark)
+    after = STAGES[name](spark, docs, SF)
+    assert after.columns == docs.columns
+    rows = after.collect()
+    assert all(r["hits"] == CLASHES.index("hits") and r["_row"] == CLASHES.index("_row") for r in rows)
+    if name in ("decontamination", "secrets"):
+        assert len(rows) == 10
+    if name == "near_dedup":  # of equal rows one stays; texts without words are equal to nothing
+        assert len(rows) == 8 and sum(r.text is None for r in rows) == 2
+    assert STAGES[name](spark, docs.limit(0), SF).collect() == []
+
+
+def test_packing_of_odd_rows(spark):
+    rows = STAGES["packing"](spark, odd_rows(spark), SF).collect()
+    assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5, 6, 7, None} and all(0 < r.length <= 2048 for r in rows)
+    assert STAGES["packing"](spark, odd_rows(spark).limit(0), SF).collect() == []
+
+
 def test_run_is_the_same_twice(spark):
     first, second = (sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect()) for _ in range(2))
     assert first == second and first
