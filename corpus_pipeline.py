@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnspark.llm import decontam, neardup, packing, quality, secrets
 from cairnspark.llm.labels import fold, labelled_sample
+from cairnspark.llm.rowkeys import fresh
 from cairnspark.llm.tokenizer import word_bpe_path
 from cairnspark.session import ensure_checkpoint_dir, read_table, written
 
@@ -18,25 +19,28 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the quality classifier rejects."""
     texts, labels = labelled_sample(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"), "quality", fold("doc_id", 5) != 0, quality.FIT_ROWS)
-    scored = quality.score_documents(docs, quality.fit(texts, labels), name="_score")
-    return scored.filter(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    score = fresh(docs, "_score")
+    scored = quality.score_documents(docs, quality.fit(texts, labels), name=score)
+    return scored.filter(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each class of near duplicates, that of the least id: shingles of five words, similarity 0.8. Rows are told
     apart by a number that is written once, as ids may be null or repeated."""
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = neardup.near_duplicates(keyed, shingle=5, percent=80, id_col="_row").select("_row", "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_row")
-    kept = found.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
-    return keyed.join(kept.select("_row"), "_row", "left_semi").select(*docs.columns)
+    row = fresh(docs, "_row")
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = neardup.near_duplicates(keyed, shingle=5, percent=80, id_col=row).select(row, "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", row)
+    kept = found.join(keyed.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(order)[row].alias(row))
+    return keyed.join(kept.select(row), row, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item; texts, not ids, tell which."""
-    keyed = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    found = decontam.decontaminate(keyed, read_table(spark, sf_dir, "benchmark", "item_id", "text"), id_col="_key")
-    return keyed.join(found.filter(F.size("hits") > 0).select("_key").distinct(), "_key", "left_anti").select(*docs.columns)
+    key = fresh(docs, "_key")
+    keyed = docs.withColumn(key, F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = decontam.decontaminate(keyed, read_table(spark, sf_dir, "benchmark", "item_id", "text"), id_col=key)
+    return keyed.join(found.filter(F.size("hits") > 0).select(key).distinct(), key, "left_anti").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
