@@ -1,7 +1,8 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 Patterns are the windows of the benchmark items. A shift table over blocks of two words tells how far a search may jump;
-where it says zero, the hash of the whole window picks a bucket, and a comparison of the words themselves confirms.
+where it says zero, the hash of the last block picks a bucket, the hash of the whole window a place in it, and a comparison of
+the words themselves confirms. Items are held in arrays, about six times their text, on the driver and in what is broadcast.
 
 Defined results: null or empty texts have no words and are clean; items without words are ignored; repeated rows give one
 result each; repeated items with different ids all count; other columns are not looked at.
@@ -9,19 +10,19 @@ result each; repeated items with different ids all count; other columns are not
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cairnspark.llm.arrowtext import mixed, padded, runs_of, steps, utf8, word_hashes
 
 WINDOW = 10
 #: Items are held in blocks of about so many bytes; each block is one pass over the documents, so no broadcast grows with the items.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 _TABLE_BITS = 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -45,34 +46,69 @@ class Words:
         return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.starts[start : start + size], self.ends[start : start + size], strict=True))
 
 
+class Items:
+    """The words of a block of items, in a few arrays, and whose they are."""
+
+    def __init__(self, items: Iterable[tuple[str, str | None]]):
+        self.names, texts = [], []
+        for name, text in items:
+            self.names.append(name)
+            texts.append(text)
+        data, offsets = utf8(pa.array(texts, pa.large_string()))
+        texts.clear()
+        self.words = Words(data, offsets)
+        self.words.starts, self.words.ends = (x.astype(np.int32 if len(data) < 2**31 else np.int64) for x in (self.words.starts, self.words.ends))
+        self.hashes = self.words.hashes(np.arange(len(self.words.starts)))
+
+    def windows(self, window: int) -> dict[int, np.ndarray]:
+        """The first words of the items' windows, by the windows' size: an item of fewer words, but not none, is one window."""
+        first, count = self.words.first[:-1], np.diff(self.words.first)
+        size = np.minimum(count, window)
+        out = {}
+        for s in np.unique(size[size > 0]):
+            own = np.flatnonzero(size == s)
+            times = count[own] - s + 1
+            out[int(s)] = (np.repeat(first[own], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
+        return out
+
+
 class WuManber:
-    """A search for patterns that all have ``size`` words."""
-
-    def __init__(self, size: int, patterns: dict[bytes, list[str]]):
-        self.size, self.block = size, min(2, size)
-        self.patterns = patterns
-        texts = list(patterns)
-        joined = Words(*utf8(pa.array([t.decode() for t in texts])))
-        hashes = joined.hashes(np.arange(len(joined.starts))).reshape(len(texts), size)
+    """A search for patterns that all have ``size`` words, given by their first words in the items.
+
+    A pattern's bucket is the hash of its last block; a bucket is ordered by the hash of the whole pattern. Per pattern it
+    holds twelve bytes, beside one table of shifts.
+    """
+
+    def __init__(self, size: int, items: Items, places: np.ndarray):
+        self.size, self.block, self.items = size, min(2, size), items
+        column = lambda i: items.hashes[places + i]  # noqa: E731 - one at a time, as all of them would be ten times the text
         self.most = size - self.block + 1
         self.shift = np.full(1 << _TABLE_BITS, self.most, np.uint8 if size < 250 else np.int64)
         for end in range(self.block - 1, size):  # later blocks allow smaller shifts, so they overwrite
-            self.shift[self._slot([hashes[:, end - i] for i in range(self.block - 1, -1, -1)])] = size - 1 - end
-        whole = self._whole([hashes[:, i] for i in range(size)])
-        order = np.argsort(whole)
-        self.whole, self.texts = whole[order], [texts[i] for i in order]
-
-    def _whole(self, columns: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros(len(columns[0]), np.uint64)
+            self.shift[self._slot(column(i) for i in range(end - self.block + 1, end + 1))] = size - 1 - end
+        key = self._key(self._slot(column(i) for i in range(size - self.block, size)), self._whole(column(i) for i in range(size)))
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        self.key, self.places = key[order], places[order]
+        # patterns of one key mostly are one text: where all of a run are, one comparison is enough
+        twin = np.flatnonzero(self.key[1:] == self.key[:-1])
+        differ = [k for k in twin.tolist() if items.words.window(int(self.places[k]), size) != items.words.window(int(self.places[k + 1]), size)]
+        self.mixed = {int(self.key[k]) for k in differ}
+        self.owners: dict[int, list[int]] = {}
+
+    def _whole(self, columns: Iterable[np.ndarray]) -> np.ndarray:
+        out = np.uint64(0)
         for c in columns:
             out = out * np.uint64(0x9E3779B97F4A7C15) + c
         return mixed(out)
 
-    def _slot(self, columns: list[np.ndarray]) -> np.ndarray:
+    def _slot(self, columns: Iterable[np.ndarray]) -> np.ndarray:
         return (self._whole(columns) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
-    def search(self, words: Words) -> Iterator[tuple[int, bytes]]:
-        """(number of the first word, pattern) of every occurrence that lies within one text."""
+    def _key(self, slot: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        return (slot.astype(np.uint64) << np.uint64(64 - _TABLE_BITS)) | (whole >> np.uint64(_TABLE_BITS))
+
+    def search(self, words: Words) -> Iterator[tuple[int, list[int]]]:
+        """(number of the first word, items) of every occurrence that lies within one text."""
         first, last = words.first[:-1] + self.size - 1, words.first[1:]  # of the places where an occurrence may end
         tiles = np.maximum(0, -(-(last - first) // self.most))
         of = np.repeat(np.arange(len(first)), tiles)
@@ -86,27 +122,32 @@ class WuManber:
             on = at < stop
             at, stop = at[on], stop[on]
         starts = np.concatenate(ends or [np.zeros(0, np.int64)]) - self.size + 1
-        whole = self._whole([words.hashes(starts + i) for i in range(self.size)])
-        left, right = np.searchsorted(self.whole, whole, "left"), np.searchsorted(self.whole, whole, "right")
+        hashes = [words.hashes(starts + i) for i in range(self.size)]
+        key = self._key(self._slot(hashes[-self.block :]), self._whole(hashes))
+        left, right = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
+        own = self.items.words
         for i in np.flatnonzero(right > left):
-            found = words.window(int(starts[i]), self.size)
-            for j in range(left[i], right[i]):
-                if self.texts[j] == found:
-                    yield int(starts[i]), found
+            found, at = words.window(int(starts[i]), self.size), int(left[i])
+            if int(key[i]) in self.mixed:
+                same = [p for p in self.places[at : right[i]].tolist() if own.window(p, self.size) == found]
+                if same:
+                    yield int(starts[i]), self._of(same)
+            elif own.window(int(self.places[at]), self.size) == found:
+                if at not in self.owners:
+                    self.owners[at] = self._of(self.places[at : right[i]])
+                yield int(starts[i]), self.owners[at]
+
+    def _of(self, places) -> list[int]:
+        """The items of patterns."""
+        return np.unique(np.searchsorted(self.items.words.first, places, "right") - 1).tolist()
 
 
 def matchers(items: Iterable[tuple[str, str | None]], window: int = WINDOW) -> list[WuManber]:
     """One search for each length of pattern: windows of ``window`` words, and the whole of shorter items."""
-    by_size: dict[int, dict[bytes, list[str]]] = defaultdict(lambda: defaultdict(list))
-    for item, text in items:
-        words = Words(*utf8(pa.array([text], pa.string())))
-        n = len(words.starts)
-        size = min(n, window)
-        for start in range(n - size + 1 if n else 0):
-            owners = by_size[size][words.window(start, size)]
-            if item not in owners:
-                owners.append(item)
-    return [WuManber(size, dict(patterns)) for size, patterns in sorted(by_size.items())]
+    held = Items(items)
+    found = [WuManber(size, held, places) for size, places in sorted(held.windows(window).items())]
+    del held.hashes
+    return found
 
 
 def _scan(found: list[WuManber], id_type: pa.DataType):
@@ -118,10 +159,10 @@ def _scan(found: list[WuManber], id_type: pa.DataType):
                 words = Words(data, offsets)
                 hits, items = [[] for _ in range(part.num_rows)], [set() for _ in range(part.num_rows)]
                 for matcher in found:
-                    for start, pattern in matcher.search(words):
+                    for start, owners in matcher.search(words):
                         k = int(np.searchsorted(words.first, start, "right")) - 1
                         hits[k].append((start - int(words.first[k]), start - int(words.first[k]) + matcher.size))
-                        items[k].update(matcher.patterns[pattern])
+                        items[k].update(matcher.items.names[o] for o in owners)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(np.diff(words.first)), pa.array([[{"start": a, "end": b} for a, b in _union(h)] for h in hits], schema.field("hits").type), pa.array([sorted(x) for x in items], schema.field("items").type)],
                     schema=schema,
@@ -150,7 +191,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     items = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).filter("item is not null and text is not null")
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[dict(rows.dtypes)["id"]]
+    id_type = to_arrow_type(rows.schema["id"].dataType)
     out = None
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)

@@ -1,10 +1,14 @@
 import hashlib
+import pickle
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from cairnspark.llm import decontam
+from cairnspark.llm.arrowtext import utf8
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -57,3 +61,31 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.n_hit) for r in decontam.digest(decontam.decontaminate(docs, none)).collect()] == [(2, 0)]
     assert decontam.decontaminate(docs.limit(0), docs.withColumnRenamed("doc_id", "item_id")).collect() == []
+
+
+def test_items_are_held_in_few_bytes():
+    rng = random.Random(1)
+    items = [(str(i), " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(400))) for i in range(600)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    found = decontam.matchers(items)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    table = 1 << 20
+    assert peak < 12 * size + table and len(pickle.dumps(found)) < 6 * size + table
+
+
+def test_a_window_that_all_items_share_and_one_key_for_two_texts(spark, monkeypatch):
+    lead = "answer the next question with one word and say no"
+    items = [(i, f"{lead} {' '.join(f'q{i}x{k}' for k in range(5))}") for i in range(50)]
+    docs = [(1, f"he said {lead} more"), (2, f"{lead} q7x0 q7x1"), (3, "q7x0 q7x1"), (3, "q7x0 q7x1"), (None, lead)]
+    frames = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for key in (None, lambda self, slot, whole: slot.astype("uint64") * 0 + 5):
+        if key:
+            monkeypatch.setattr(decontam.WuManber, "_key", key)  # every pattern in one place: words decide
+        found = decontam.matchers([(str(i), t) for i, t in items])
+        spots = [list(m.search(decontam.Words(*utf8(pa.array([t for _, t in docs]))))) for m in found]
+        assert sorted((s, len(o)) for s, o in spots[0]) == [(2, 50), (13, 50), (14, 1), (15, 1), (29, 50)]
+    monkeypatch.undo()
+    rows = decontam.decontaminate(*frames).collect()
+    assert sorted(len(r["items"]) for r in rows) == [0, 0, 50, 50, 50]
