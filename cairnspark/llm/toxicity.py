@@ -9,7 +9,8 @@ unexplained, so that every family of insults gets its own however rare it is bes
 kernel values of its words with each landmark, mapped by the Nystroem root of the landmarks' own kernel matrix; a squared-hinge
 machine is trained on labelled sentences, a toxic row giving those that look worst, and once more those of its copy whose telling
 words are written with gaps and letters put in. A text's score comes from the margins of its
-worst three sentences, calibrated on the fitting rows.
+worst three sentences and of its worst six words, each as a sentence of its own, against the number of its words, calibrated on the
+fitting rows.
 
 A word's kernel values with all landmarks at once are sums over its subsequences of ORDER letters, looked up in one table; they
 are exact. A run of more than LONG letters without a blank is read in overlapping pieces of LONG letters.
@@ -46,8 +47,9 @@ POWER = 2
 LEAST = 0.3
 #: Letters that one piece of an unbroken run holds at most; pieces begin half as many apart.
 LONG = 40
-#: Margins of a text that its score is made of.
+#: Margins of a text's sentences, and of its words, that its score is made of.
 WORST = 3
+WORST_WORDS = 6
 THRESHOLD = 0.3
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -129,7 +131,7 @@ class Model:
     root: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
-    slope: np.ndarray = field(default_factory=lambda: np.zeros(WORST))
+    slope: np.ndarray = field(default_factory=lambda: np.zeros(WORST + WORST_WORDS + 1))
     level: float = 0.0
 
     def prepare(self) -> None:
@@ -242,10 +244,8 @@ def values(model: Model, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return kind[inverse], np.concatenate(found) if found else np.zeros((0, len(model.landmarks)), np.float32)
 
 
-def sentences(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, features before the root) of every sentence that holds a word near a landmark."""
-    words = Words(data, offsets)
-    kind, table = values(model, words)
+def sentences(model: Model, words: Words, kind: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, features before the root) of every sentence that holds a word near a landmark; kinds and table are those of values()."""
     at = np.flatnonzero(kind >= 0)
     if not len(at):
         return np.zeros(0, np.int64), np.zeros((0, len(model.landmarks)), np.float32)
@@ -310,20 +310,20 @@ def choose_landmarks(texts: list[str], labels: list[int], most: int = LANDMARKS)
     clean = (held - toxic)[able]
     weight = np.ones(len(texts))
 
-    def evidence(k: int) -> float:
+    def telling(k: int) -> float:
         n = weight[places[k]].sum()
         p = n / (n + clean[k])
         if p <= base:
             return 0.0
         return n * np.log(p / base) + (clean[k] * np.log((1 - p) / (1 - base)) if clean[k] else 0)
 
-    left = [(-evidence(k), names[int(kinds[able[k]])], k) for k in range(len(able))]
+    left = [(-telling(k), names[int(kinds[able[k]])], k) for k in range(len(able))]
     heapq.heapify(left)
     chosen: list[bytes] = []
     while left and len(chosen) < most:
         # evidence only falls: a word whose evidence is still what it was, or above the next one's, is the best
         old, name, k = heapq.heappop(left)
-        now = -evidence(k)
+        now = -telling(k)
         if -now < certain:
             continue
         if left and now > left[0][0]:
@@ -374,7 +374,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 4) -> Model:
     model.root = vectors / np.sqrt(np.maximum(size, 1e-3))
     of, rows = [], []
     for a in range(0, len(texts), 400):
-        t, r = sentences(model, *utf8(pa.array(texts[a : a + 400], pa.string())))
+        words = Words(*utf8(pa.array(texts[a : a + 400], pa.string())))
+        t, r = sentences(model, words, *values(model, words))
         of.append(t + a)
         rows.append(r)
     of, raw = np.concatenate(of), np.concatenate(rows)
@@ -395,30 +396,67 @@ def fit(texts: list[str], labels: list[int], rounds: int = 4) -> Model:
             mass[sign == side] /= max(1.0, mass[sign == side].sum())
         model.weights, model.bias = _machine(points, sign, mass)
         look = x @ model.weights + model.bias
-    top = _worst(of, look, len(y), model.bias)
-    model.slope, model.level = _calibrated(top, y, each, model.level)
+    del of, raw, x
+    parts = [utf8(pa.array(texts[a : a + 400], pa.string())) for a in range(0, len(texts), 400)]
+    model.slope, model.level = _calibrated(np.concatenate([evidence(model, *part) for part in parts]), y, each, model.level)
     return model
 
 
-def _worst(of: np.ndarray, margin: np.ndarray, n: int, bias: float) -> np.ndarray:
+def evidence(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """What a text's score is made of: the margins of its worst sentences and of its worst words, each word as a sentence of its
+    own, and, below zero, how many words it has, as long texts hold words near a landmark by chance."""
+    words, n = Words(data, offsets), len(offsets) - 1
+    kind, table = values(model, words)
+    plane = model.root @ model.weights
+    text, rows = sentences(model, words, kind, table)
+    near = np.flatnonzero(kind >= 0)
+    alone = (table @ plane + model.bias)[kind[near]]
+    return np.concatenate([
+        _worst(text, rows @ plane + model.bias, n, model.bias, WORST),
+        _worst(words.text[near], alone, n, model.bias, WORST_WORDS),
+        -np.log1p(np.bincount(words.text, minlength=n))[:, None],
+    ], 1)
+
+
+def _worst(of: np.ndarray, margin: np.ndarray, n: int, bias: float, most: int) -> np.ndarray:
     """The largest margins of each text, the largest first; a text with fewer has the bias for the rest."""
-    out = np.full((n, WORST), bias)
+    out = np.full((n, most), bias)
     order = np.lexsort((-margin, of))
     rank = np.arange(len(order)) - np.searchsorted(of[order], of[order], "left")
-    top = rank < WORST
+    top = rank < most
     out[of[order][top], rank[top]] = np.maximum(margin[order][top], bias)
     return out
 
 
-def _calibrated(x: np.ndarray, y: np.ndarray, each: np.ndarray, level: float) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton steps, weights not below zero; ``each`` is how much a row counts."""
+def _calibrated(x: np.ndarray, y: np.ndarray, each: np.ndarray, level: float, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton steps over the weights that are free, as none but the level may fall below zero; a step that
+    does not raise the likelihood is halved. ``each`` is how much a row counts."""
     x1 = np.concatenate([x, np.ones((len(x), 1))], 1)
     w = np.concatenate([np.zeros(x.shape[1]), [level]])
-    for _ in range(80):
+
+    def likelihood(w: np.ndarray) -> float:
+        z = x1 @ w
+        return float((each * (y * z - np.logaddexp(0, z))).sum() - ridge / 2 * w @ w)
+
+    best = likelihood(w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        h = (x1 * (each * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x1 + 1e-2 * np.eye(len(w))
-        w = w + np.clip(np.linalg.solve(h, x1.T @ (each * (y - p)) - 1e-2 * w), -1, 1)
-        w[:-1] = np.maximum(w[:-1], 0)
+        up = x1.T @ (each * (y - p)) - ridge * w
+        free = np.flatnonzero((w > 0) | (up > 0) | (np.arange(len(w)) == len(w) - 1))
+        part = x1[:, free]
+        step = np.zeros(len(w))
+        step[free] = np.linalg.solve((part * (each * p * (1 - p))[:, None]).T @ part + ridge * np.eye(len(free)), up[free])
+        for half in range(30):
+            new = w + step / 2**half
+            new[:-1] = np.maximum(new[:-1], 0)
+            value = likelihood(new)
+            if value > best:
+                break
+        else:
+            break
+        done, w, best = value - best < 1e-9 * abs(best), new, value
+        if done:
+            break
     return w[:-1], float(w[-1])
 
 
@@ -440,11 +478,8 @@ def _machine(x: np.ndarray, sign: np.ndarray, mass: np.ndarray, ridge: float = 1
 
 
 def scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    top = np.full((len(offsets) - 1, WORST), model.bias)
-    if model.landmarks:
-        text, rows = sentences(model, data, offsets)
-        top = _worst(text, rows @ (model.root @ model.weights) + model.bias, len(top), model.bias)
-    return 1 / (1 + np.exp(-np.clip(top @ model.slope + model.level, -30, 30)))
+    found = evidence(model, data, offsets) @ model.slope if model.landmarks else np.zeros(len(offsets) - 1)
+    return 1 / (1 + np.exp(-np.clip(found + model.level, -30, 30)))
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:

@@ -137,6 +137,43 @@ def test_toxicity_learns_rare_families_beside_common_insults():
     assert (scores[y == 1] >= toxicity.THRESHOLD).mean() > 0.95 and (scores[y == 0] < toxicity.THRESHOLD).mean() > 0.97
 
 
+def test_toxicity_counts_words_of_one_sentence():
+    """Clean texts hold one word of a family by chance, toxic ones four, all in one sentence."""
+    tails = ["an", "ichen", "ück", "ei", "ent", "eu", "ihr", "ig", "isch", "kr", "lo", "nd", "ng", "sp", "tum"]
+
+    def rows(n, seed):
+        rng = random.Random(seed)
+        out = []
+        for (text, _), y in zip(insult_rows(["x"], n, n + 1, 0, seed), [int(i % 4 == 0) for i in range(n)], strict=True):
+            held = 4 if y else int(rng.random() < 0.4)
+            out.append((" ".join(["göwéi" + rng.choice(tails) for _ in range(held)] + [text]), y))
+        return out
+
+    train, test = rows(800, 5), rows(300, 6)
+    model = toxicity.fit([t for t, _ in train], [y for _, y in train])
+    scores = toxicity.scores(model, *utf8(pa.array([t for t, _ in test])))
+    y = np.array([y for _, y in test])
+    assert (scores[y == 1] >= toxicity.THRESHOLD).mean() > 0.95 and (scores[y == 0] < toxicity.THRESHOLD).mean() > 0.95
+
+
+def test_calibration_is_the_best_with_weights_not_below_zero():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 4))
+    y = (x @ [2.0, -1.0, 0.5, 0.0] + rng.logistic(size=500) > 1).astype(int)
+    w, level = toxicity._calibrated(x, y, np.ones(500), 0.0)
+
+    def loss(v):
+        z = x @ v[:-1] + v[-1]
+        return (np.logaddexp(0, z) - y * z).sum() + 5e-3 * v @ v
+
+    best = np.append(w, level)
+    assert (w >= 0).all() and w[1] == 0
+    for _ in range(300):
+        other = best + rng.normal(size=5) * rng.choice([1e-3, 1e-2, 0.3])
+        other[:-1] = np.maximum(other[:-1], 0)
+        assert loss(other) >= loss(best) - 1e-6
+
+
 def test_one_insult_in_a_copied_family_is_no_landmark():
     rows = insult_rows(["grumblor", "fizwick"], 300)
     template = "some lines of a form letter that are copied again and again with other words all over the place " * 2
