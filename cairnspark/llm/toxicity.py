@@ -421,10 +421,12 @@ def evidence(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _worst(of: np.ndarray, margin: np.ndarray, n: int, bias: float, most: int) -> np.ndarray:
     """The largest margins of each text, the largest first; a text with fewer has the bias for the rest."""
     out = np.full((n, most), bias)
+    above = np.flatnonzero(margin > bias)  # lower ones count as the bias
+    of, margin = of[above], margin[above]
     order = np.lexsort((-margin, of))
     rank = np.arange(len(order)) - np.searchsorted(of[order], of[order], "left")
     top = rank < most
-    out[of[order][top], rank[top]] = np.maximum(margin[order][top], bias)
+    out[of[order][top], rank[top]] = margin[order][top]
     return out
 
 
