@@ -217,12 +217,13 @@ def aggregate(hits: DataFrame, section_pages: DataFrame | None = None) -> DataFr
     return out.join(section_pages.select("report_id", F.col("pages").alias("_section")), "report_id", "left").withColumn("in_ioc_section", F.coalesce(F.arrays_overlap("pages", "_section"), F.lit(False))).drop("_section")
 
 
-def extract_indicators(reports: DataFrame) -> DataFrame:
+def extract_indicators(reports: DataFrame, repair: bool = True) -> DataFrame:
     """Reports (report_id, pages, tables) to their indicators. Texts are scanned once; hits, which the steps after it read several
-    times, are written with the few characters around them."""
+    times, are written with the few characters around them. Without ``repair`` texts are read as they stand: for running text,
+    where short words in a row ("de de de ...") would make digests that no one wrote."""
     from cairnspark.operators.sections import section_pages
 
-    return aggregate(cut(spelled_hits(document_sources(reports))), section_pages(reports))
+    return aggregate(cut(spelled_hits(document_sources(reports), repair)), section_pages(reports))
 
 
 def was_defanged(forms: Column, value: Column) -> Column:

@@ -113,3 +113,22 @@ def test_table_function(spark):
     spark.createDataFrame([(1, "see hxxp://evil[.]com/x and 45.66.77.88"), (2, None)], "id int, body string").createOrReplaceTempView("bodies")
     rows = spark.sql("SELECT id, i.type, i.value, i.start FROM bodies, LATERAL extract_indicators(body) i ORDER BY id, start, type DESC").collect()
     assert [tuple(r) for r in rows] == [(1, "url", "http://evil.com/x", 4), (1, "domain", "evil.com", 11), (1, "ipv4", "45.66.77.88", 28)]
+
+
+def test_documents_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from cairnspark.plans.catalog import ORACLE_SQL, QUERIES
+
+    texts = [
+        "de " * 60 + "x", "Eded eded " * 25, "be " * 20, f"{SHA256[:43]}\n{SHA256[43:]}", f"{SHA1} by bob@evil.com from 45.66.77.88 and 230.1.1.1", "4465758382889437 4465758382889437", None,
+        "the anhahe.cn Eres std::cout ad::be", "amy@evil.com, Bob@evil.com, bob@evil.com and evil.com; eve@corp.internal",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["indicators_documents"](spark, str(tmp_path))
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = base.execute(ORACLE_SQL["indicators_documents"])
+    names = [c[0] for c in wanted.description]
+    rows = sorted(tuple(r) for r in found.select(*names).collect())
+    assert rows == sorted(wanted.fetchall()) and len(rows) == 10
