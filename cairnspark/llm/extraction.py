@@ -1,16 +1,18 @@
-"""Main text of web pages: element roles first, then nearest-URL page differencing.
+"""Main text of web pages: nearest-URL page differencing of every page, then element roles.
 
 Differencing pairs each page with the page of nearest URL path on its host, aligns their text lines by longest common
 subsequence, and deletes the shared lines. It cannot stand alone where menus and adverts differ from page to page, or where two
-pages carry one article; so elements that say what they are decide first: boilerplate elements go, and lines inside an article
-or main element are never deleted. Lines of pages without such an element are differenced.
+pages carry one article; so elements that say what they are check its result line by line: lines inside an article or main element
+are given back if they were deleted, and lines of boilerplate elements go if they were not. What remains of a page without an
+article or main element is what differencing left of it.
 
 Defined results: a null or empty page has an empty text; a page whose end is missing is read to where it stops; a page without a
-partner, or without a url or id, is not differenced; repeated rows give one result each; other columns are not looked at.
+partner, or without a url or id, shares no lines; repeated rows give one result each; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -26,6 +28,8 @@ from cairnspark.session import cut
 TOGETHER = 200_000
 #: Cells of one table of an alignment.
 CELLS = 4_000_000
+#: What a line's elements say of it: boilerplate, nothing, or that an article or main element holds it.
+ASIDE, OPEN, INSIDE = 0, 1, 2
 
 # What elements, and names of classes and ids, hold besides the main text.
 _DROP = frozenset("script style noscript template head title nav aside footer form svg iframe object select button textarea canvas audio video dialog menu".split())
@@ -63,20 +67,20 @@ def _is_aside(name: str, attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> tuple[list[str], bool]:
-    """The text lines of a page that are not boilerplate by their elements, and whether an article or main element holds them."""
-    lines: list[tuple[str, bool]] = []
+def page_lines(page: str) -> list[tuple[str, int]]:
+    """All text lines of a page in order, each with what its elements say of it; scripts, styles and their like hold no text."""
+    lines: list[tuple[str, int]] = []
     parts: list[str] = []
-    at, main, skip, depth = 0, 0, "", 0
+    at, main, skip, depth, mute = 0, 0, "", 0, ""
 
-    def flush(inside: bool) -> None:
+    def flush(role: int) -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            lines.append((text, inside))
+            lines.append((text, role))
 
     while (token := _TOKEN.search(page, at)) is not None:
-        if not skip and token.start() > at:
+        if not mute and token.start() > at:
             parts.append(page[at : token.start()])
         at = token.end()
         closing, name, attributes = token.group(1), token.group(2), token.group(3)
@@ -84,17 +88,25 @@ def blocks(page: str) -> tuple[list[str], bool]:
             continue
         name = name.lower()
         if skip:
+            if mute:
+                mute = "" if closing and name == mute else mute
+            elif not closing and name in _RAW and not attributes.rstrip().endswith("/"):
+                mute = name
+            if name in _BLOCKS or name == skip:
+                flush(ASIDE)
+            elif name == "br":
+                parts.append(" ")
             if name == skip and name not in _VOID:
                 depth += -1 if closing else not attributes.rstrip().endswith("/")
                 if not depth:
-                    skip = ""
+                    flush(ASIDE)
+                    skip = mute = ""
             elif closing and name in _MAIN and name != skip and main:  # an aside left open ends with its article
-                skip = ""
-                flush(True)
+                skip = mute = ""
                 main -= 1
             continue
         if not closing and (_is_aside(name, attributes) or name == "header" and not main):
-            flush(main > 0)
+            flush(INSIDE if main else OPEN)
             if name in _RAW:
                 end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else len(page)
@@ -104,15 +116,26 @@ def blocks(page: str) -> tuple[list[str], bool]:
         if name == "br":
             parts.append(" ")
         elif name in _BLOCKS:
-            flush(main > 0)
+            flush(INSIDE if main else OPEN)
             if name in _MAIN:
                 main = max(0, main - 1) if closing else main + 1
-    if not skip and at < len(page):
+    if not mute and at < len(page):
         rest = page[at:]
         parts.append(rest if not re.match(r"</?[A-Za-z!]", rest) else "")
-    flush(main > 0)
-    inside = [t for t, held in lines if held]
-    return (inside, True) if inside else ([t for t, _ in lines], False)
+    flush(ASIDE if skip else INSIDE if main else OPEN)
+    return lines
+
+
+def blocks(page: str) -> tuple[list[str], bool]:
+    """The text lines of a page that are not boilerplate by their elements, and whether an article or main element holds them."""
+    lines = page_lines(page)
+    inside = [t for t, role in lines if role == INSIDE]
+    return (inside, True) if inside else ([t for t, role in lines if role == OPEN], False)
+
+
+def digests(lines: list[tuple[str, int]]) -> bytes:
+    """Eight bytes a line: all that an alignment asks of the other page's lines is which are equal."""
+    return b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t, _ in lines)
 
 
 def shared(own: list[str], other: list[str]) -> list[bool]:
@@ -124,7 +147,11 @@ def shared(own: list[str], other: list[str]) -> list[bool]:
     out = np.zeros(len(a), bool)
     # a line that the other page lacks is in no common subsequence
     i, b = np.flatnonzero(np.isin(a, b)), b[np.isin(b, a)]
-    _common_lines(a[i], b, i, out)
+    a, short = a[i], min(len(i), len(b))
+    # equal beginnings, of a twin all, need no table
+    n = next(iter(np.flatnonzero(a[:short] != b[:short])), short)
+    out[i[:n]] = True
+    _common_lines(a[n:], b[n:], i[n:], out)
     return out.tolist()
 
 
@@ -163,12 +190,18 @@ def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row
 
 
+def main_text(lines: list[tuple[str, int]], other: bytes | None) -> str:
+    """Lines of a page less those shared with ``other``, the digests of its partner's lines; then checked by their roles."""
+    same = shared(np.frombuffer(digests(lines), np.int64).tolist(), np.frombuffer(other, np.int64).tolist()) if other else [False] * len(lines)
+    left = [(t, role) for (t, role), s in zip(lines, same, strict=True) if role == INSIDE or not s and role != ASIDE]
+    if not left:  # a twin is no template
+        left = [(t, role) for t, role in lines if role != ASIDE]
+    best = max((role for _, role in left), default=OPEN)
+    return "\n".join(t for t, role in left if role == best)
+
+
 def extract(page: str | None, partner: str | None) -> str:
-    lines, safe = blocks(page or "")
-    if lines and not safe and partner:
-        same = shared(lines, blocks(partner)[0])
-        lines = [x for x, s in zip(lines, same, strict=True) if not s] or lines  # a twin is no template
-    return "\n".join(lines)
+    return main_text(page_lines(page or ""), digests(page_lines(partner)) if partner else None)
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -203,21 +236,27 @@ def partners(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
     return found.filter(F.col("partner").isNotNull()).select("id", "partner")
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [digests(page_lines(x or "")) for x in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("partner"), pa.array(found, pa.binary())], names=["partner", "other"])
+
+
+def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        page, other = batch.column("html").to_pylist(), batch.column("other").to_pylist()
+        texts = [main_text(page_lines(a or ""), b) for a, b in zip(page, other, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
+
+
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: id_col, url_col, text, n_chars."""
+    """One row per page: id_col, url_col, text, n_chars. Every page is aligned with its partner; of that only digests travel."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    # only pages that no article or main element holds need their partner's lines
-    bare = rows.filter(F.col("html").isNotNull() & ~F.col("html").rlike(r"(?i)<(?:article|main)[\s>]"))
-    pairs = bare.select("id").distinct().join(partners(pages, id_col, url_col), "id")
-    others = pairs.join(rows.select(F.col("id").alias("partner"), F.col("html").alias("other")), "partner").groupBy("id").agg(F.min("other").alias("other"))
-    schema = f"id {dict(rows.dtypes)['id']}, url string, text string, n_chars long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            page, other = batch.column("html").to_pylist(), batch.column("other").to_pylist()
-            texts = [extract(a, b) for a, b in zip(page, other, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
-
-    safe = rows.filter(~(F.col("html").isNotNull() & ~F.col("html").rlike(r"(?i)<(?:article|main)[\s>]"))).withColumn("other", F.lit(None).cast("string"))
-    out = safe.unionByName(bare.join(others, "id", "left").select("id", "url", "html", "other")).mapInArrow(run, schema)
+    kind = dict(rows.dtypes)["id"]
+    lines = rows.filter("id is not null").select(F.col("id").alias("partner"), "html").mapInArrow(_digested, f"partner {kind}, other binary")
+    others = partners(pages, id_col, url_col).join(lines, "partner").groupBy("id").agg(F.min("other").alias("other"))
+    # the digests of a share of the pages are held, the pages are not sorted
+    paired = rows.filter("id is not null").join(others.hint("shuffle_hash"), "id", "left").select("id", "url", "html", "other")
+    alone = rows.filter("id is null").withColumn("other", F.lit(None).cast("binary"))
+    out = paired.unionByName(alone).mapInArrow(_extracted, f"id {kind}, url string, text string, n_chars long")
     return out.withColumnsRenamed({"id": id_col, "url": url_col})

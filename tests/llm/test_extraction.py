@@ -119,3 +119,55 @@ def test_differencing_against_brute_force_on_bare_pages(spark):
         prefix = lambda u, v: next((i for i, (x, y) in enumerate(zip(u, v)) if x != y), min(len(u), len(v)))
         partner = max(near, key=lambda r: (prefix(r[1], url), -r[0]))
         assert found[k] == "\n".join(x for x in lines if x not in partner[3])
+
+
+def test_pages_that_only_name_an_article_are_differenced(spark):
+    """A comment, a script or an empty element holds no article: what such pages share with their neighbour goes."""
+    named = ["<!-- <article> -->", "<script>var t = '<article>'</script>", "<main id=app></main>", "<article> <img src=x></article>"]
+    page = lambda k: f"<body>{named[k % 4]}<p>Welcome</p><p>text {k}</p><p>All rights</p></body>"
+    pages = spark.createDataFrame([(k, f"http://h.org/a/{k}", page(k)) for k in range(8)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extraction.extract_pages(pages).collect()} == {k: f"text {k}" for k in range(8)}
+
+
+def test_every_page_is_aligned_with_its_neighbour_and_then_checked_by_roles(spark):
+    """Against brute force on pages with and without an article: a longest common subsequence over all lines, menus included, goes;
+    lines of an article come back, what boilerplate is left by it goes."""
+    rng = random.Random(4)
+    wrap = {extraction.ASIDE: "<nav><p>{}</p></nav>", extraction.OPEN: "<p>{}</p>", extraction.INSIDE: "<article><p>{}</p></article>"}
+    rows = []
+    for k in range(60):
+        roles = [extraction.ASIDE, extraction.OPEN] + [extraction.INSIDE] * (k % 3 == 0)
+        lines = [(rng.choice(["menu", "imprint", "claim"]) if rng.random() < 0.4 else f"text {k} {i}", rng.choice(roles)) for i in range(rng.randint(1, 7))]
+        rows.append((k, f"http://h{k % 2}.example/a{k:03d}", "".join(wrap[role].format(t) for t, role in lines), lines))
+    found = {r.page_id: r.text for r in extraction.extract_pages(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()}
+    pairs = {r.id: r.partner for r in extraction.partners(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string"), "page_id", "url").collect()}
+    assert len(pairs) == 60
+    for k, _, page, lines in rows:
+        assert extraction.page_lines(page) == lines
+        own, other = [t for t, _ in lines], [t for t, _ in rows[pairs[k]][3]]
+        deleted, i, j = set(), 0, 0
+        while i < len(own) and j < len(other):  # of equal choices the earliest lines
+            if own[i] == other[j]:
+                deleted.add(i)
+                i, j = i + 1, j + 1
+            elif brute_length(own[i:], other[j + 1 :]) == brute_length(own[i:], other[j:]):
+                j += 1
+            else:
+                i += 1
+        assert len(deleted) == brute_length(own, other)
+        article = [t for t, role in lines if role == extraction.INSIDE]
+        rest = [t for t, role in lines if role == extraction.OPEN]
+        assert found[k] == "\n".join(article or [t for i, (t, role) in enumerate(lines) if role == extraction.OPEN and i not in deleted] or rest)
+
+
+def test_rows_without_id_or_with_a_repeated_one(spark):
+    rows = [(None, "http://h.org/1", "<p>a</p><p>b</p>"), (None, None, None), (1, "http://h.org/2", "<p>a</p><p>c</p>"), (1, "http://h.org/2", "<p>a</p><p>c</p>"), (2, "http://h.org/3", "<nav>a</nav><p>d</p>")]
+    found = extraction.extract_pages(spark.createDataFrame(rows, "page_id int, url string, html string"))
+    assert sorted((r.page_id or 0, r.text) for r in found.collect()) == [(0, ""), (0, "a\nb"), (1, "c"), (1, "c"), (2, "d")]
+    assert found.schema["page_id"].dataType.simpleString() == "int"
+
+
+def test_twins_of_very_many_lines_take_no_table(monkeypatch):
+    monkeypatch.setattr(extraction, "_lengths", None)  # not called
+    lines = [f"line {i}" for i in range(50_000)]
+    assert all(extraction.shared(lines, lines)) and sum(extraction.shared(["own"] + lines, lines + ["end"])) == 50_000
