@@ -9,6 +9,11 @@ it, the leftmost of equals. It depends on the window alone, so equal windows mee
 and travel as one block. A block whose anchor occurs nowhere else is done. A block that occurs again as a whole is repeated as a
 whole. The others, one of each, go through the digits of eight bytes in memory.
 
+Most anchors occur once, so blocks are made twice: first only four bytes of each anchor are exchanged, from which a bitmap of bounded
+size tells which anchors may occur again; then only blocks that the bitmap lets through become rows. The bitmap misses no anchor that
+occurs again. One that it lets through for nothing meets no other block and is found alone by the exact counts that follow: a smaller
+bitmap costs rows, not results. Whole texts are exchanged once, for both joins that read them.
+
 Defined results: matches stay inside texts; null or empty texts, and texts shorter than ``depth``, keep everything; overlapping
 and self-overlapping repeats count; rows repeated whole are repeats of each other. Rows are told apart by id and text, so ids may
 repeat, be null and have any type that casts to a string; other columns are not looked at.
@@ -21,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.llm.arrowtext import mixed, steps
 from cairnspark.llm.rowkeys import keyed
-from cairnspark.session import cut
+from cairnspark.session import written
 
 DEPTH = 200
 GRAM = 100
@@ -34,6 +40,8 @@ GRAM = 100
 HOT_BLOCKS = 3_000
 #: Suffixes that one radix sort holds, about; a group is never divided.
 SORT_SUFFIXES = 400_000
+#: The bitmap of anchors that occur again has 2 ** PART_BITS parts, at least SEEN_EACH bits for each such anchor, and 64 MB at most.
+PART_BITS, SEEN_EACH, SEEN_BITS = 8, 16, 29
 _PLACE = np.uint64((1 << 28) - 1)
 _R = 0x9E3779B97F4A7C15
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -93,19 +101,74 @@ def blocks(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, gram: int
     return text[head], start[head] - offsets[text[head]], np.add.reduceat(count, head), count[head], ah[head].astype(np.int64), own[head].astype(np.int64), each > 1
 
 
-def _blocks(depth: int, gram: int):
+def _seen(depth: int, gram: int, part_bits: int):
+    """The anchors of some texts, as four bytes of their hashes in each part of the bitmap; of equal ones, two at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in steps(batch, "text"):
+                *_, anchor, _, again = blocks(data, offsets, depth, gram)
+                place = mixed(np.concatenate([anchor, anchor[again]]).view(np.uint64)) >> np.uint64(32 - part_bits)
+                place.sort()
+                third = np.zeros(len(place), bool)
+                third[2:] = place[2:] == place[:-2]
+                place = place[~third]
+                part, first = np.unique(place >> np.uint64(32), return_index=True)
+                each = np.split(place.astype(np.uint32), first[1:]) if len(part) else []
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([x.tobytes() for x in each], pa.binary())], names=["part", "seen"])
+
+    return run
+
+
+def _twice(each: int, most: int):
+    """One part of the bitmap: the places of anchors that were seen twice, in a power of two of bits."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        seen = np.frombuffer(b"".join(table.column("seen").to_pylist()), np.uint32).copy()
+        seen.sort()
+        again = np.unique(seen[1:][seen[1:] == seen[:-1]])
+        bits = min(max(3, (len(again) * each).bit_length()), most)
+        marks = np.zeros(1 << bits, bool)
+        marks[again >> np.uint32(32 - bits)] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+
+    return run
+
+
+def _blocks(depth: int, gram: int, part_bits: int, shared: Broadcast[tuple[bytes, list[int]]]):
+    """Rows of the blocks whose anchors may occur again, by the bitmap and the bytes of its parts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, sizes = np.frombuffer(shared.value[0], np.uint8), np.array(shared.value[1], np.uint64) * np.uint64(8)
+        begin, shift = np.cumsum(sizes) - sizes, np.uint64(32) - np.log2(sizes).astype(np.uint64)
         for batch in batches:
-            for part, data, offsets in steps(batch, "text"):
-                text, first, windows, one, anchor, block, again = blocks(data, offsets, depth, gram)
+            for texts, data, offsets in steps(batch, "text"):
+                found = blocks(data, offsets, depth, gram)
+                place = mixed(found[4].view(np.uint64)) >> np.uint64(32 - part_bits)
+                part = (place >> np.uint64(32)).astype(np.int64)
+                at = begin[part] + ((place & np.uint64(0xFFFFFFFF)) >> shift[part])
+                may = (marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                text, first, windows, one, anchor, block, again = (x[may] for x in found)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(text)), part.column("own").take(pa.array(text)), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(one.astype(np.int32)), pa.array(anchor), pa.array(block), pa.array(again)],
+                    [texts.column("id").take(pa.array(text)), texts.column("own").take(pa.array(text)), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(one.astype(np.int32)), pa.array(anchor), pa.array(block), pa.array(again)],
                     names=["id", "own", "first", "windows", "one", "anchor", "block", "again"],
                 )
 
     return run
 
 
+def _met(texts: DataFrame, depth: int, gram: int) -> DataFrame:
+    """Blocks (id, own, first, windows, one, anchor, block, again) of every anchor that occurs again, and a few of others."""
+    texts = texts.select("id", "own", "text").filter(F.octet_length("text") >= depth)
+    parts = texts.select("text").mapInArrow(_seen(depth, gram, PART_BITS), "part int, seen binary").groupBy("part").applyInArrow(_twice(SEEN_EACH, SEEN_BITS - PART_BITS), "part int, marks binary")
+    made = {r.part: bytes(r.marks) for r in parts.collect()}
+    marks = [made.get(k, b"\0") for k in range(1 << PART_BITS)]
+    shared = texts.sparkSession.sparkContext.broadcast((b"".join(marks), [len(x) for x in marks]))
+    met = written(texts.mapInArrow(_blocks(depth, gram, PART_BITS, shared), "id long, own long, first int, windows int, one int, anchor long, block long, again boolean"))
+    shared.destroy()
+    return met
+
+
 def repeated_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """Which of the suffixes at ``at`` share their first ``depth`` bytes with another suffix of their group.
 
@@ -186,20 +249,18 @@ def _sorted_blocks(depth: int):
 
 def _spans(texts: DataFrame, depth: int, gram: int) -> DataFrame:
     """Ranges (id, own, start, end) of bytes covered by repeated strings; ranges of one text may overlap."""
-    texts = texts.select("id", "own", "text").filter(F.octet_length("text") >= depth)
-    every = texts.mapInArrow(_blocks(depth, gram), "id long, own long, first int, windows int, one int, anchor long, block long, again boolean")
-    known = every.groupBy("anchor").agg(F.count("*").alias("_n"), F.min("block").alias("_a"), F.max("block").alias("_b"), F.max("again").alias("_r")).filter("_n > 1 or _r")
-    met = cut(every.join(known.select("anchor", (F.col("_a") != F.col("_b")).alias("mixed")), "anchor"))
-    distinct = met.filter("mixed").groupBy("anchor", "block").agg(F.count("*").alias("_n"), F.max("again").alias("_r"), F.min(F.struct("id", "own", "first", "one")).alias("_f"))
-    distinct = cut(distinct.select("anchor", "block", (~((F.col("_n") > 1) | F.col("_r"))).alias("alone"), "_f.*"))
+    met = _met(texts, depth, gram)
+    distinct = met.groupBy("anchor", "block").agg(F.count("*").alias("_n"), F.max("again").alias("_r"), F.min(F.struct("id", "own", "first", "one")).alias("_f"))
+    distinct = written(distinct.select("anchor", "block", (~((F.col("_n") > 1) | F.col("_r"))).alias("alone"), "_f.*"))
     span = lambda frame: frame.select("id", "own", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") + depth - 1).cast("long").alias("end"))
-    whole = span(met.filter("not mixed")).unionByName(span(met.filter("mixed").join(distinct.filter("not alone").select("anchor", "block"), ["anchor", "block"])))
+    whole = span(met.join(distinct.filter("not alone").select("anchor", "block"), ["anchor", "block"]))
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("_c"), F.max("alone").alias("_any"))
-    # where every block of an anchor is repeated as a whole, nothing is left to find
-    open_ = distinct.join(sizes.filter("_any"), "anchor").withColumn("hot", F.col("_c") > HOT_BLOCKS)
+    # where every block of an anchor is repeated as a whole, or there is one only, nothing is left to find
+    open_ = distinct.join(sizes.filter("_any and _c > 1"), "anchor").withColumn("hot", F.col("_c") > HOT_BLOCKS)
 
     def fetched(hot: bool) -> DataFrame:
         wanted = open_.filter(F.col("hot") == hot).groupBy("id", "own").agg(F.collect_list(F.struct("anchor", "first", "one", "alone")).alias("wanted"))
+        # all columns of texts, unfiltered: this exchange is the one of the last join, and is made once
         return texts.join(wanted, ["id", "own"]).mapInArrow(_fetch(depth, hot), "id long, own long, anchor long, first int, bytes binary, alone boolean")
 
     partly = fetched(False).repartition("anchor").sortWithinPartitions("anchor", "id", "own", "first").mapInArrow(_sorted_blocks(depth), "id long, own long, start long, end long")

@@ -73,3 +73,36 @@ def test_repeated_null_and_text_ids(spark, monkeypatch, hot):
     a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
     found = substrings.remove_repeats(spark.createDataFrame([(1, a), (1, b), (2, a)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_removed) for r in found) == sorted([(1, len(a)), (1, 0), (2, len(a))])
+
+
+def test_texts_cross_the_network_once(spark):
+    """What is exchanged is little more than the texts: an anchor that occurs once costs a few bytes, no row."""
+    rng = random.Random(3)
+    rows = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+-") for _ in range(20_000)) for _ in range(100)]
+    rows += [rows[k][5_000:5_400] + rows[k + 1][:250] + rows[k][9_000:9_090] for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    context = spark.sparkContext._jsc.sc()
+
+    def exchanged():
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for adaptive in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            before = exchanged()
+            found = substrings.remove_repeats(docs).collect()
+            assert exchanged() - before < 1.5 * sum(map(len, rows))
+            assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute(list(enumerate(rows)), 200)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_a_small_bitmap_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SEEN_BITS", substrings.PART_BITS + 3)
+    rows = texts(60)
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 60, 24).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute(rows, 60)
