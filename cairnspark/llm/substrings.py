@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.arrowtext import mixed, steps
+from cairnspark.llm.arrowtext import give_back, mixed, steps
 from cairnspark.llm.rowkeys import keyed
 from cairnspark.session import written
 
@@ -45,16 +45,23 @@ PART_BITS, SEEN_EACH, SEEN_BITS = 8, 16, 29
 _PLACE = np.uint64((1 << 28) - 1)
 _R = 0x9E3779B97F4A7C15
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
+_POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
-    if len(cache.get("p", ())) < n:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS.get("p", ())) < n:
         size = 1 << max(21, (n - 1).bit_length())
         for key, base in (("p", _R), ("q", pow(_R, -1, 1 << 64))):
             steps_ = np.full(size, base, np.uint64)
             steps_[0] = 1
-            cache[key] = np.cumprod(steps_, dtype=np.uint64)
-    return cache["p"], cache["q"]
+            _POWERS[key] = np.cumprod(steps_, dtype=np.uint64)
+    return _POWERS["p"], _POWERS["q"]
+
+
+def _rest() -> None:
+    """At a task's end: its worker waits, and counts with the executor."""
+    _POWERS.clear()
+    give_back()
 
 
 def blocks(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -116,6 +123,7 @@ def _seen(depth: int, gram: int, part_bits: int):
                 part, first = np.unique(place >> np.uint64(32), return_index=True)
                 each = np.split(place.astype(np.uint32), first[1:]) if len(part) else []
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([x.tobytes() for x in each], pa.binary())], names=["part", "seen"])
+        _rest()
 
     return run
 
@@ -153,6 +161,7 @@ def _blocks(depth: int, gram: int, part_bits: int, shared: Broadcast[tuple[bytes
                     [texts.column("id").take(pa.array(text)), texts.column("own").take(pa.array(text)), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(one.astype(np.int32)), pa.array(anchor), pa.array(block), pa.array(again)],
                     names=["id", "own", "first", "windows", "one", "anchor", "block", "again"],
                 )
+        _rest()
 
     return run
 
@@ -208,6 +217,7 @@ def _fetch(depth: int, hot: bool):
                     [pa.repeat(ids[k], len(rows)), pa.repeat(owns[k], len(rows)), pa.array(a, pa.int64()), pa.array(f, pa.int32()), pa.array(b, pa.binary()), pa.array(alone, pa.bool_())],
                     names=["id", "own", "anchor", "first", "bytes", "alone"],
                 )
+        _rest()
 
     return run
 
@@ -243,6 +253,8 @@ def _sorted_blocks(depth: int):
                 held += len(row[4]) - depth + 1
         if rows:
             yield done(rows)
+        rows.clear()
+        _rest()
 
     return run
 
